@@ -1,13 +1,16 @@
 """The registered queries of this subpackage and their DuckDB equivalents."""
 
-from foralia.llm.media import op3_media
-from foralia.llm.packing import op9_packing
-from foralia.llm.quality import op10_quality
+from foralia.llm import line_dedup, media, mixing, packing, quality
 
 QUERIES = {
-    "op3_media": op3_media,
-    "op9_packing": op9_packing,
-    "op10_quality": op10_quality,
+    "op3_media": media.op3_media,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op9_packing": packing.op9_packing,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_mixing": mixing.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+}
