@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their DuckDB equivalents."""
 
-from foralia.llm import line_dedup, media, mixing, packing, quality
+from foralia.llm import line_dedup, media, mixing, packing, quality, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
