@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their DuckDB equivalents."""
 
-from foralia.llm import line_dedup, media, mixing, packing, quality, simhash
+from foralia.llm import html_text, line_dedup, media, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_html": html_text.op7_html,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
 }
