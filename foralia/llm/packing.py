@@ -12,6 +12,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,8 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces packed together by one task: a bound on memory; each group leaves at most a few windows half full.
 GROUP_PIECES = 4096
-#: Entries of a worker's word caches before they are emptied: a bound on memory, not on results.
-CACHE_WORDS = 300_000
+#: Entries of a worker's word caches; the later half goes when they are full, as frequent words come early. A bound on memory, not on results.
+CACHE_WORDS = 600_000
 
 
 class WordEncoder:
@@ -56,7 +58,7 @@ class WordEncoder:
         got = self.parts.get(part)
         if got is None:
             if len(self.parts) > CACHE_WORDS:
-                self.parts.clear()
+                self.parts = dict(islice(self.parts.items(), CACHE_WORDS // 2))
             shown = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
             got = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
         return got
@@ -82,13 +84,19 @@ class WordEncoder:
         words = text.encode().split()
         new = [w for w in dict.fromkeys(words) if w not in self.words]
         if new:
-            if len(self.words) + len(new) > CACHE_WORDS:
-                self.words.clear()
-                new = list(dict.fromkeys(words))
+            if len(self.words) > CACHE_WORDS:
+                self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
+                new = [w for w in dict.fromkeys(words) if w not in self.words]
             self._learn(new)
         return b"".join(map(self.words.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process: its caches outlive a task."""
+    return WordEncoder(path)
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -97,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
