@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,9 @@ def drop_scratch(df: DataFrame) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table by the path only Spark needs to understand."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now instead of at some later collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
