@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB equivalents."""
 
-from foralia.llm import html_text, line_dedup, media, mixing, packing, quality, simhash, toxicity
+from foralia.llm import html_text, line_dedup, media, mixing, packing, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_html": html_text.op7_html,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
 }

@@ -22,10 +22,12 @@ MAX_FEATURES = 4096
 #: A word must follow so many different words in toxic documents, and half as many as it has toxic documents: copies of
 #: one passage repeat their contexts and prove nothing more than the first.
 MIN_CONTEXTS = 5
-MIN_WEIGHT = 1.5
+MIN_WEIGHT = 2.5
 GRADES = 3
 RIDGE = 0.02
 STEPS = 800
+#: A document is called toxic from this probability of grade 1 or more: one marker word in a long text suffices.
+TOXIC_FROM = 0.2
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -55,7 +57,7 @@ class OrdinalModel:
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int = GRADES, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds from a sparse 0/1 matrix by full-batch Adam; thresholds are a first value and positive gaps."""
+    """Weights and thresholds from a sparse 0/1 matrix by full-batch Adam; weights are not negative (features are words of evidence); thresholds are a first value and positive gaps."""
     n = max(len(grades), 1)
     params = np.concatenate([np.zeros(n_features), [1.0], np.zeros(n_grades - 2)])
     low, high = np.zeros_like(params), np.zeros_like(params)
@@ -80,6 +82,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
         low = 0.9 * low + 0.1 * grad
         high = 0.99 * high + 0.01 * grad * grad
         params = params - 0.1 * (low / (1 - 0.9**step)) / (np.sqrt(high / (1 - 0.99**step)) + 1e-9)
+        params[:n_features] = np.maximum(params[:n_features], 0)
     raw = params[n_features:]
     return params[:n_features], np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
@@ -128,7 +131,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     @F.pandas_udf("toxic boolean, grade int, expected_severity double, p_clean double")
     def run(texts: pd.Series) -> pd.DataFrame:
         p = shared.value.grade_probabilities(shared.value.scores(texts))
-        return pd.DataFrame({"toxic": p[:, 0] < 0.5, "grade": p.argmax(axis=1).astype("int32"), "expected_severity": p @ np.arange(p.shape[1]), "p_clean": p[:, 0]})
+        return pd.DataFrame({"toxic": p[:, 0] <= 1 - TOXIC_FROM, "grade": p.argmax(axis=1).astype("int32"), "expected_severity": p @ np.arange(p.shape[1]), "p_clean": p[:, 0]})
 
     return docs.select("doc_id", run(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
 
