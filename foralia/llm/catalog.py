@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their DuckDB equivalents."""
 
-from foralia.llm import html_text, line_dedup, media, mixing, packing, quality, simhash, suffix_dedup, toxicity
+from foralia.llm import html_text, language_model, line_dedup, media, mixing, packing, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_language_model": language_model.op2_language_model,
     "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
