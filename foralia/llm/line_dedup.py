@@ -122,8 +122,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     A key is a line stripped of ASCII white space with A-Z in lower case. Keys in `min_docs` distinct doc_ids or more
     lose all their lines but those of the largest doc_id. Null text is one empty line; a null doc_id counts as one
-    document below all others; rows that repeat a doc_id are one document; other columns pass through; no rows give none.
+    document below all others; rows that repeat a doc_id are one document; other columns pass through, but n_lines and n_dropped are
+    replaced; no rows give none.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     marked = _text(docs)
     lines = materialize(line_keys(marked, min_chars), "lines")
     hot = repeated_lines(lines, min_docs, batches, fanout)

@@ -7,6 +7,10 @@ copy's place in that stream gives the time at which training wants it. Documents
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +67,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, budget: float = BUDGET,
     words add up to floor(target). Order within a source: md5 of doc_id, doc_id, size; a null doc_id hashes as 'null'.
     Null source is a source of its own; rows that repeat are streamed one after another; empty input gives no rows.
     """
-    spark = docs.sparkSession
+    docs = docs.drop("source_size", "target", "copies")
     per = materialize(targets(docs.select("source", "size"), weights, slopes, budget, most), "mix-sources")
     n = docs.count()
     ranges = max(64, -(-n // ROWS_A_RANGE))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    per_key = per.withColumnRenamed("source", "_source")
+    per_key = per.select(F.col("source").alias("_source"), F.col("rank").alias("_rank"), "source_size", "target", F.col("slope").alias("_slope"))
     keyed = docs.join(per_key, docs["source"].eqNullSafe(per_key["_source"])).drop("_source").withColumn("_hash", digest)
     keyed = keyed.withColumn("_range", F.shiftright(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * ranges, 32))
-    sums = keyed.groupBy("rank", "_range").agg(F.sum("size").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("rank").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = materialize(sums.select("rank", "_range", before.alias("_before")), "mix-ranges")
-    running = Window.partitionBy("rank", "_range").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_in_range", F.coalesce(F.sum("size").over(running), F.lit(0))).join(starts, ["rank", "_range"])
+    sums = keyed.groupBy("_rank", "_range").agg(F.sum("size").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_rank").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(sums.select("_rank", "_range", before.alias("_before")), "mix-ranges")
+    running = Window.partitionBy("_rank", "_range").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("_in_range", F.coalesce(F.sum("size").over(running), F.lit(0))).join(starts, ["_rank", "_range"])
     whole = F.floor("target")
 
     def copy(k: int) -> Column:
         start = F.col("_before") + F.col("_in_range") + k * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), whole - start)).cast("long")
-        return F.struct(F.lit(k).alias("copy"), words.alias("words"), demand_time(start, F.col("target"), F.col("slope")).alias("position"))
+        return F.struct(F.lit(k).alias("copy"), words.alias("words"), demand_time(start, F.col("target"), F.col("_slope")).alias("position"))
 
     copies = F.filter(F.array(*map(copy, range(most))), lambda c: c["words"] > 0)
     return placed.withColumn("copies", copies).select(*docs.columns, "source_size", "target", "copies")
@@ -93,6 +97,18 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
 
 
+def cut_to_words(docs: DataFrame) -> DataFrame:
+    """Cuts `text` after its first `words` words where it has more (`size`): the last copy of a source, in part."""
+
+    @F.pandas_udf("string")
+    def first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([None if text is None else text[: next(islice((m.end() for m in re.finditer(WORD, text)), n - 1, None))] for text, n in zip(texts, words, strict=True)], dtype=object)
+
+    longer = F.col("words") < F.col("size")
+    cut = first_words(F.when(longer, F.col("text")), "words")
+    return docs.withColumn("text", F.when(longer, cut).otherwise(F.col("text")))
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """All `documents`, those not taken last; see mix for edge cases. Null text has size 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))

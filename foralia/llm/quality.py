@@ -153,6 +153,21 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     return measured.join(limits, "stratum", "left").select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "stratum")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """The rows of `docs` that pass the base rules and every certified cutoff, with all their columns; no row is shuffled."""
+    limits = materialize(cutoffs(materialize(features(docs, stratum), "quality"), labels, risk, level), "cutoffs")
+
+    @F.pandas_udf("base_failed boolean, " + ", ".join(f"{r} double" for r in RULES))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(x or "")[len(COUNTS) :] for x in texts], columns=["base_failed", *RULES])
+
+    own = docs.withColumn("_m", measured(F.coalesce("text", F.lit("")))).withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    own = own.join(limits.withColumnRenamed("stratum", "_s"), "_s", "left").where("not _m.base_failed")
+    for r in RULES:
+        own = own.where(F.coalesce(F.col(f"_m.{r}") <= F.col(f"{r}_max"), F.lit(True)))
+    return own.select(*docs.columns)
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """One verdict per row of `documents`, calibrated on `labels`.
 
