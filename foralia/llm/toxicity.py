@@ -119,6 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     markers = {vocabulary[r["word"]] for r in best if r["weight"] > 3}
     hits = np.array([len(markers.intersection(x)) for x in lists])
     middle = np.median(hits[toxic > 0]) if toxic.any() else 0
+    if not toxic.any():
+        return OrdinalModel({}, np.zeros(0), np.arange(50.0, 49.0 + GRADES))
     weights, thresholds = fit_ordinal(rows, cols, toxic + ((toxic > 0) & (hits > middle)), len(words))
     return OrdinalModel(vocabulary, weights, thresholds)
 
