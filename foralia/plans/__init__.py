@@ -1,8 +1,8 @@
 """Registered queries: each module states its queries and their DuckDB equivalents."""
 
-from foralia.plans import tax
+from foralia.plans import retrieval, tax
 
-MODULES = (tax,)
+MODULES = (tax, retrieval)
 
 
 def queries() -> dict:
