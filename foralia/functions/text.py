@@ -126,7 +126,10 @@ def last_with_marker(parts: Column, markers: str, min_chars: int = 50) -> Column
 
 def first_by_marker(parts: Column, markers: list[str]) -> Column:
     """The first paragraph with the first marker that any paragraph has."""
-    return F.coalesce(*(F.try_element_at(F.filter(parts, lambda p, m=m: p.rlike(m)), F.lit(1)) for m in markers))
+    def first(marker: str) -> Column:
+        return F.try_element_at(F.filter(parts, lambda p: p.rlike(marker)), F.lit(1))
+
+    return F.coalesce(*map(first, markers))
 
 
 def dedupe_by(values: Column, key) -> Column:
