@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from foralia.functions.text import subject_key
 
-# Rank of each court, smaller is stronger.
-COURT_TIERS = {"TC": 10, "TS": 20, "AN": 30, "TSJ": 40, "AP": 50}
+# Rank of each court and of each kind of administrative doctrine, smaller is stronger.
+COURT_TIERS = {"TC": 10, "TS": 20, "AN": 30, "TSJ": 40, "AP": 61}
+TRIBUNAL_TIERS = {"unifica_criterio": 21, "extiende_efectos": 31}
+ORDINARY_TIER, BINDING_RULING_TIER, REGIONAL_TIER = 41, 50, 60
 
 
 def court_tier(court: Column) -> Column:
@@ -17,6 +19,12 @@ def court_tier(court: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, court), F.lit(COURT_TIERS["TSJ"]))
 
 
+def tribunal_tier(organ: Column, kind: Column) -> Column:
+    """Only the central tribunal's resolutions rank by kind."""
+    ranks = F.create_map(*(F.lit(x) for pair in TRIBUNAL_TIERS.items() for x in pair))
+    return F.when(organ == "teac", F.coalesce(F.try_element_at(ranks, kind), F.lit(ORDINARY_TIER))).otherwise(F.lit(REGIONAL_TIER))
+
+
 def _size(*keys: Column) -> Column:
     return F.count("*").over(Window.partitionBy(*keys))
 
