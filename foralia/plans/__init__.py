@@ -1,8 +1,8 @@
 """Registered queries: each module states its queries and their DuckDB equivalents."""
 
-from foralia.plans import retrieval, tax
+from foralia.plans import law, retrieval, tax
 
-MODULES = (tax, retrieval)
+MODULES = (tax, retrieval, law)
 
 
 def queries() -> dict:
