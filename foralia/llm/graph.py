@@ -25,10 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     while state["n"]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(current.join(least, "a").where("b <> m").select("b", "m").toDF("x", "b").select(F.greatest("x", "b").alias("a"), F.least("x", "b").alias("b")))
-        large = large.unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+        # large star: each node's larger neighbours move to its smallest one
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: each node and its smaller neighbours move to the smallest of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = moved.unionByName(least.withColumnRenamed("m", "b")).distinct()
         following = materialize(small, "edges")
         after = _state(following)
         drop_scratch(current)
