@@ -129,12 +129,12 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 # A similarity of 0.8 is far apart for 64 bits: about ten of them differ. The wide form takes more fingerprints at once.
 WIDE_WIDTH = 5
-PLANES = 30
+PLANES = 48
 WIDE_BITS = PLANES * BITS
-#: Jaccard 0.8 of equally large sets is an angle at which 0.151 of the bits differ, 290 of 1920, give or take 16.
-WIDE_MAX_BITS = 305
-#: Hex digits of a segment that must be equal for two signatures to meet: 96 segments of 20 bits.
-SEGMENT_DIGITS = 5
+#: Jaccard 0.8 of equally large sets is an angle at which 0.151 of the bits differ, 465 of 3072, give or take 20.
+WIDE_MAX_BITS = 485
+#: Hex digits of a segment that must be equal for two signatures to meet: 128 segments of 24 bits.
+SEGMENT_DIGITS = 6
 SEGMENTS = WIDE_BITS // 4 // SEGMENT_DIGITS
 #: Pairs that meet are compared in full only if their first 64 bits differ in no more than this (3.5 deviations).
 FIRST_MAX_BITS = 20
