@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,69 +27,58 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces packed together by one task: a bound on memory; each group leaves at most a few windows half full.
 GROUP_PIECES = 4096
-#: Entries of a worker's word caches; the later half goes when they are full, as frequent words come early. A bound on memory, not on results.
-CACHE_WORDS = 600_000
+#: Entries of a worker's cache of parts; the later half goes when it is full, as frequent parts come early. A bound on memory, not on results.
+CACHE_PARTS = 400_000
 
 
 class WordEncoder:
-    """Ids of a text, word by word: equal to encoding the text at once, because the tokenizer drops white space.
+    """Ids of a text, equal to encoding it at once, because the tokenizer drops white space and cuts by one pattern.
 
-    The vocabulary's own normalizer runs over each batch of new words; words of plain Latin letters, digits and
-    punctuation are cut by the pattern the tokenizer file states and merged by its model; any other word goes
-    through the tokenizer whole. Words and pieces already seen are looked up.
+    A text of Latin letters, digits, punctuation and ASCII white space is lower-cased and cut into parts by the pattern
+    that the tokenizer file states, and each part goes through the tokenizer's model once. In any other text, words
+    of other characters go through the tokenizer whole. Parts already seen are looked up.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.plain = re.compile("[\x21-\x7e¡-ɏ]+").fullmatch
-        self.letters = re.compile("[a-z]+").fullmatch
+        pattern = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        latin = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]) if c != "\u0130"]  # its lower case is two characters
+        of = lambda kind: re.escape("".join(c for c in latin if unicodedata.category(c)[0] == kind))
+        self.split = re.compile(pattern.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N"))).findall
+        plain = re.escape("".join(latin))
+        self.plain_text, self.plain_word = re.compile(f"[\t-\r {plain}]*").fullmatch, re.compile(f"[{plain}]+").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in set(printable))
         self.shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) > CACHE_WORDS:
-                self.parts = dict(islice(self.parts.items(), CACHE_WORDS // 2))
-            shown = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
-            got = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        return got
-
-    def _whole(self, word: str) -> bytes:
+    def _learn(self, part: str) -> None:
+        shown = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
+        self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        parts = self.split(text.lower())
+        try:
+            return b"".join(map(self.parts.__getitem__, parts))
+        except KeyError:
+            if len(self.parts) > CACHE_PARTS:
+                self.parts = dict(islice(self.parts.items(), CACHE_PARTS // 2))
+            for part in set(parts).difference(self.parts):
+                self._learn(part)
+            return b"".join(map(self.parts.__getitem__, parts))
+
+    def _other(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        raw = [w.decode() for w in new]
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(raw)).split(" ")
-        if len(normal) != len(raw):
-            normal = [self.tokenizer.normalizer.normalize_str(w) for w in raw]
-        for key, word, norm in zip(new, raw, normal, strict=True):
-            if self.letters(norm) and word.isascii():
-                self.words[key] = self._part(norm)
-            elif self.plain(norm) and self.plain(word) and "<|" not in word:
-                self.words[key] = b"".join(map(self._part, self.split(norm)))
-            else:
-                self.words[key] = self._whole(word)
-
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.encode().split()
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if new:
-            if len(self.words) > CACHE_WORDS:
-                self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
-                new = [w for w in dict.fromkeys(words) if w not in self.words]
-            self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+        if "<|" not in text and self.plain_text(text):
+            return self._plain(text)
+        words = (w.decode() for w in text.encode().split())
+        return b"".join(self._plain(w) if self.plain_word(w) and "<|" not in w else self._other(w) for w in words)
 
 
 @lru_cache(maxsize=1)

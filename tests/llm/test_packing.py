@@ -23,7 +23,7 @@ def test_ids_equal_the_tokenizer(rows):
 
 
 def test_full_caches_change_nothing(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 4)
+    monkeypatch.setattr(packing, "CACHE_PARTS", 4)
     encoder = packing.WordEncoder(PATH)
     for text in (ODD, "one two three four five six seven", ODD):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference(text)[:-1]
