@@ -27,7 +27,7 @@ GRADES = 3
 RIDGE = 0.02
 STEPS = 800
 #: A document is called toxic from this probability of grade 1 or more: one marker word in a long text suffices.
-TOXIC_FROM = 0.2
+TOXIC_FROM = 0.1
 WORD = re.compile(r"[^\W_]+")
 
 
