@@ -94,7 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     examples no word has weight and nothing is found toxic.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    place, span = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 1 << 30
+    share = min(1.0, 1.2 * max_labelled / max(marks.count(), 1))  # so that tasks do not each hand on max_labelled rows
+    sample = marks.where(place < int(share * span)).orderBy(place, "doc_id").limit(max_labelled).select("doc_id", "toxic")
     split = F.pandas_udf(lambda texts: texts.map(lambda x: sorted(words_of(x))), "array<string>")
     pairs = F.pandas_udf(lambda texts: texts.map(contexts_of), "array<struct<word:string,before:string>>")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
