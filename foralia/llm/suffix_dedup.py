@@ -6,6 +6,10 @@ home travels as one row. Spark sorts (rank of the home, rank of the run) pairs:
 drop out; a run whose bytes have all occurred before is settled at once; the first runs of homes with several runs go
 on to the next round, where the full 100-byte ranks of their positions are sorted. 100 is past the threshold: what
 still shares a rank there is a repeat.
+
+Between the two rounds stand the pairs at doubled length: 100 bytes around a home reach 34 bytes or more beyond it on
+one side, so they also hold the home's pair with the rank 32 bytes before it or with the one 32 bytes after it. Of a
+pending run only those positions go on whose pair recurs under the home.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foralia.runtime import drop_scratch, materialize, release, table
+from foralia.runtime import drop_scratch, materialize, table
 
 LENGTH = 100
 PREFIX = 32
 #: Bytes of text that are ranked together; a longer text is cut into blocks that overlap by LENGTH - 1.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 PLACE_BITS = 24
+#: A string that starts so far before its home holds the PREFIX bytes before it; one that starts later, those after it.
+BEFORE = (LENGTH - PREFIX) // 2
 NO_ID = (1 << 63) - 1
 
 
@@ -84,8 +90,11 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
         yield b"".join(parts), *np.array(meta, np.int64).T
 
 
-def runs_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Arrays (text, start, count, home rank, run rank): strings start .. start + count - 1 of a text share a home."""
+def runs_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (text, start, count, home rank, run rank, sides): strings start .. start + count - 1 of a text share a home.
+
+    sides packs how far the home lies after start, and 28 bits each of the ranks PREFIX bytes before and after the home.
+    """
     for block, owner, place, offset in _blocks(texts):
         ranks = prefix_ranks(np.frombuffer(block, np.uint8))
         home = homes(ranks)
@@ -102,22 +111,25 @@ def runs_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         digest = xxhash.xxh3_64_intdigest
         run = np.array([digest(block[a:b], seed) for a, b, seed in zip(first.tolist(), (stop + LENGTH - 1).tolist(), lead.tolist(), strict=True)], np.uint64)
         of = piece[first]
-        yield owner[of], first - place[of] + offset[of], count, ranks[home[first]].view(np.int64), run.view(np.int64)
+        middle = home[first]
+        before, after = (ranks[np.clip(middle + by, 0, len(ranks) - 1)] & np.uint64((1 << 28) - 1) for by in (-PREFIX, PREFIX))
+        sides = lead.astype(np.uint64) << np.uint64(56) | before << np.uint64(28) | after
+        yield owner[of], first - place[of] + offset[of], count, ranks[middle].view(np.int64), run.view(np.int64), sides.view(np.int64)
 
 
-ANCHORS = "home long, run long, doc long, place long"
+ANCHORS = "home long, run long, doc long, place long, sides long"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(home, run, doc, place) for each run; place packs start, count and a mark of the text so that starts sort first."""
+    """(home, run, doc, place, sides) for each run; place packs start, count and a mark of the text so that starts sort first."""
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["doc"].to_numpy(np.int64)
             texts = [x.encode() for x in batch["text"]]
             marks = batch["mark"].to_numpy(np.int64)
-            for owner, start, count, home, run in runs_of(texts):
-                yield pd.DataFrame({"home": home, "run": run, "doc": ids[owner], "place": start << 23 | count << 16 | marks[owner]})
+            for owner, start, count, home, run, sides in runs_of(texts):
+                yield pd.DataFrame({"home": home, "run": run, "doc": ids[owner], "place": start << 23 | count << 16 | marks[owner], "sides": sides})
 
     return docs.select("doc", "mark", "text").mapInPandas(ranked, ANCHORS)
 
@@ -141,8 +153,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = Window.partitionBy("home")
     ranked = anchors(docs).withColumn("again", here != F.first(here).over(in_run))
     ranked = ranked.withColumn("alone", F.min("run").over(every) == F.max("run").over(every))
-    left = materialize(ranked.where("again or not alone").select("doc", mark.alias("mark"), start.alias("start"), count.alias("count"), "again"), "ranked")
-    release(left.sparkSession)
+    left = ranked.where("again or not alone").select("home", "doc", mark.alias("mark"), start.alias("start"), count.alias("count"), "again", F.shiftrightunsigned("sides", 56).alias("lead"), (F.shiftright("sides", 28) % (1 << 28)).alias("before"), (F.col("sides") % (1 << 28)).alias("after"))
+    recurs = lambda side: F.sum(F.when(~F.col("again"), 1)).over(Window.partitionBy("home", side)) > 1
+    early = F.when(recurs("before"), F.least("count", F.greatest(F.lit(0), F.col("lead") - BEFORE + 1))).otherwise(F.lit(0))
+    late = F.when(recurs("after"), F.least("count", F.greatest(F.lit(0), F.col("count") - F.greatest(F.lit(0), F.col("lead") - BEFORE + 1)))).otherwise(F.lit(0))
+    left = left.withColumn("early", early).withColumn("late", late)
+    first = F.when(F.col("again") | (F.col("early") > 0), F.col("start")).otherwise(F.col("start") + F.col("count") - F.col("late"))
+    left = left.select("doc", "mark", first.alias("start"), F.when(F.col("again"), F.col("count")).otherwise(F.col("early") + F.col("late")).alias("count"), "again").where("count > 0")
+    left = materialize(left.sortWithinPartitions("doc", "start"), "ranked")
     settled = left.where("again").select("doc", "mark", _span(F.col("start"), F.col("count")).alias("span"))
     pending = left.where("not again").groupBy("doc", "mark").agg(F.collect_list(F.shiftleft("start", 7).bitwiseOR(F.col("count"))).alias("pending"))
 
@@ -153,15 +171,17 @@ def repeats(docs: DataFrame) -> DataFrame:
                 counts = packed & 127
                 at = np.repeat(packed >> 7, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 digest = xxhash.xxh3_128_digest
-                ranks = np.frombuffer(b"".join([digest(data[a : a + LENGTH]) for a in at.tolist()]), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"r1": ranks[:, 0], "r2": ranks[:, 1], "doc": doc, "place": at << 16 | mark_})
+                ranks = np.frombuffer(b"".join([digest(data[a : a + LENGTH]) for a in at.tolist()]), np.int32).reshape(-1, 4)
+                yield pd.DataFrame({"r1": ranks[:, :2].copy().view(np.int64)[:, 0], "r2": ranks[:, 2], "doc": doc, "place": at << 16 | mark_})
 
-    opened = docs.join(pending, ["doc", "mark"]).select("doc", "text", "mark", "pending").mapInPandas(full_ranks, "r1 long, r2 long, doc long, place long")
+    opened = docs.join(pending, ["doc", "mark"]).select("doc", "text", "mark", "pending").mapInPandas(full_ranks, "r1 long, r2 int, doc long, place long")
     earlier = Window.partitionBy("r1", "r2").orderBy("doc", "place")
     late = opened.withColumn("late", here != F.first(here).over(earlier)).where("late")
-    found = materialize(late.select("doc", F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("mark"), _span(F.shiftright("place", 16), F.lit(1)).alias("span")), "repeated")
-    release(left.sparkSession)
-    return materialize(settled.unionByName(found).groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")), "spans")
+    found = materialize(late.select("doc", F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("mark"), _span(F.shiftright("place", 16), F.lit(1)).alias("span")).sortWithinPartitions("doc", "span"), "repeated")
+    spans = materialize(settled.unionByName(found).groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")), "spans")
+    drop_scratch(left)
+    drop_scratch(found)
+    return spans
 
 
 KEPT = "n_removed long, n_spans long, kept binary"
