@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark setting: delete shuffle files at the end of the execution that wrote them.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: Rows in an Arrow batch between the JVM and Python: texts are kilobytes each, so Spark's 10,000 would be tens of MB.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches to BATCH_ROWS rows for this session; a smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir of the session.
 
@@ -24,11 +38,18 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage durably: a lost executor costs a re-read of files, never a recomputation.
+    This cuts the lineage durably: a lost executor costs a re-read of files, never a recomputation. The job's shuffle
+    files go when it is done, as nothing will ask for them again.
     """
     spark = df.sparkSession
+    text_batches(spark)
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,10 +66,5 @@ def drop_scratch(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table by the path only Spark needs to understand."""
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now instead of at some later collection of garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
