@@ -31,7 +31,7 @@ RULES: dict[str, list[float]] = {
     "word_length": [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.0],
 }
 #: Share of the good documents of a stratum that one rule may reject, and the level at which all bounds hold.
-RISK = 0.005
+RISK = 0.02
 LEVEL = 0.05
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
