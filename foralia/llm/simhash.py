@@ -131,8 +131,11 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 WIDE_WIDTH = 5
 PLANES = 48
 WIDE_BITS = PLANES * BITS
-#: Jaccard 0.8 of equally large sets is an angle at which 0.151 of the bits differ, 465 of 3072, give or take 20; the limit stands 1.6 times that above.
-WIDE_MAX_BITS = 497
+SIMILARITY = 0.8
+#: Jaccard 0.8 is an angle at which 0.151 of the bits differ, 465 of 3072 with a deviation of 20. Signatures closer than
+#: SURE_BITS belong to similar texts, those further apart than WIDE_MAX_BITS do not; between them the shingles decide.
+SURE_BITS = 395
+WIDE_MAX_BITS = 540
 #: Hex digits of a segment that must be equal for two signatures to meet: 128 segments of 24 bits.
 SEGMENT_DIGITS = 6
 SEGMENTS = WIDE_BITS // 4 // SEGMENT_DIGITS
@@ -172,14 +175,35 @@ def bits_apart(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(np.bitwise_count(a ^ b).sum(axis=1).astype("int32"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, max_bits: int) -> DataFrame:
-    of = classes.select("cls", "signature")
-    both = pairs.distinct().join(of.toDF("a", "left"), "a").join(of.toDF("b", "right"), "b")
-    return both.where(bits_apart("left", "right") <= max_bits).select("a", "b")
+def similar(left: str, right: str, width: int, similarity: float) -> bool:
+    """Whether the distinct shingles of both texts have this Jaccard similarity or more; texts without words have none."""
+    a, b = (np.unique(shingle_hashes(x, width)) for x in (left, right))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common > 0 and common >= similarity * (len(a) + len(b) - common) - 1e-9
 
 
-def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, max_bits: int = WIDE_MAX_BITS) -> DataFrame:
-    """(doc_id, mark, component_id) per row: texts whose shingle sets have a similarity of about 0.8 or more, transitively.
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float, max_bits: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar: by their signatures where these leave no doubt, else by their texts."""
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([similar(a, b, width, similarity) for a, b in zip(left, right, strict=True)], dtype=bool)
+
+    of = classes.select("cls", "signature", "mark")
+    both = pairs.distinct().join(of.toDF("a", "left", "mark_a"), "a").join(of.toDF("b", "right", "mark_b"), "b")
+    met = both.withColumn("bits", bits_apart("left", "right")).where(F.col("bits") <= max_bits)
+    met = materialize(met.select("a", "b", "bits", "mark_a", "mark_b"), "met")
+    doubtful = met.where(F.col("bits") > SURE_BITS)
+    wanted = doubtful.select(F.explode(F.array("mark_a", "mark_b")).alias("mark")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("mark"), text.alias("text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
+    texts = materialize(texts, "texts")
+    read = doubtful.join(texts.toDF("mark_a", "text_a"), "mark_a").join(texts.toDF("mark_b", "text_b"), "mark_b")
+    return met.where(F.col("bits") <= SURE_BITS).select("a", "b").unionByName(read.where(alike("text_a", "text_b")).select("a", "b"))
+
+
+def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, similarity: float = SIMILARITY, max_bits: int = WIDE_MAX_BITS) -> DataFrame:
+    """(doc_id, mark, component_id) per row: texts whose shingle sets have a similarity of 0.8 or more, transitively.
 
     Signatures meet where a segment is equal. First each meets the smallest signature of its segment value, so a group
     of copies costs a row for each, not for each pair; then what these links left apart meets in pairs, one signature
@@ -187,7 +211,7 @@ def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, max_bits: int = WID
     """
     rows = materialize(signatures(docs, width), "signatures")
     named = rows.withColumn("cls", F.xxhash64("signature"))
-    classes = materialize(named.groupBy("cls").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("first")), "classes")
+    classes = materialize(named.groupBy("cls").agg(F.first("signature").alias("signature"), F.min("mark").alias("mark"), F.min("doc_id").alias("first")), "classes")
     first_word = F.conv(F.substring("signature", 1, 8), 16, 10).cast("long") * (1 << 31) + F.shiftrightunsigned(F.conv(F.substring("signature", 9, 8), 16, 10).cast("long"), 1)
     at = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("segment")
     members = classes.select("cls", first_word.alias("word"), "signature", at)
@@ -196,13 +220,13 @@ def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, max_bits: int = WID
     crowded = materialize(members.join(lead, ["segment", "value"]), "crowded")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FIRST_MAX_BITS
     met = crowded.where("cls <> lead.cls").where(near("word", "lead.word")).select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b"))
-    links_1 = materialize(_verified(met, classes, max_bits), "links")
+    links_1 = materialize(_verified(met, classes, docs, width, similarity, max_bits), "links")
     groups = materialize(components(links_1), "groups")
     joined = crowded.join(groups, crowded["cls"] == groups["node"], "left").withColumn("group", F.coalesce("root", "cls"))
     one = joined.groupBy("segment", "value", "group").agg(F.min(F.struct("cls", "word")).alias("m")).select("segment", "value", "group", F.col("m.cls").alias("cls"), F.col("m.word").alias("word"))
     left, right = (one.select("segment", "value", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "cls", "word"))) for k in "ab")
     apart = left.join(right, ["segment", "value"]).where(F.col("group_a") < F.col("group_b")).where(near("word_a", "word_b"))
-    links_2 = _verified(apart.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")), classes, max_bits)
+    links_2 = _verified(apart.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")), classes, docs, width, similarity, max_bits)
     linked = materialize(components(links_1.unionByName(links_2)), "components")
     least = linked.join(classes, linked["node"] == classes["cls"]).groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(least, "root").select(F.col("node").alias("cls"), "component_id")
@@ -210,9 +234,9 @@ def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, max_bits: int = WID
     return named.join(whole, "cls").select("doc_id", "mark", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = WIDE_WIDTH, max_bits: int = WIDE_MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDE_WIDTH, similarity: float = SIMILARITY, max_bits: int = WIDE_MAX_BITS) -> DataFrame:
     """The rows of `docs` that are not near-duplicates of a smaller doc_id; rows that repeat a kept one stay with it."""
-    groups = similar_groups(docs, width, max_bits)
+    groups = similar_groups(docs, width, similarity, max_bits)
     gone = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "gone")
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_mark"])
     return docs.join(gone, same, "left_anti")

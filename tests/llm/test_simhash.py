@@ -80,3 +80,32 @@ def test_keep_one_handles_edges(docs, rows):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(0) == 3 and set(ids) <= {r[0] for r in rows}
     assert len(corpus()) > len(ids)
+
+
+def test_groups_keep_what_is_under_the_similarity(spark):
+    """Every base has one copy at 0.8 or a little more and one at a little less: the shingles decide, not the signatures."""
+    rng = random.Random(13)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    rows, want = [], {}
+    for k in range(30):
+        base = rng.choices(vocabulary, k=400)
+        sets = {0: 0, 1: 8, 2: 10}
+        for part, edits in sets.items():
+            copy = list(base)
+            for at in range(edits):
+                copy[20 + 35 * at] = f"edit{k}{part}{at}"
+            rows.append((3 * k + part, " ".join(copy)))
+        shingles = lambda text: {tuple(text.split()[i : i + 5]) for i in range(396)}
+        a, b, c = (shingles(text) for _, text in rows[-3:])
+        assert len(a & b) / len(a | b) >= 0.8 > len(a & c) / len(a | c) and len(b & c) / len(b | c) < 0.8
+        want |= {3 * k: 3 * k, 3 * k + 1: 3 * k, 3 * k + 2: 3 * k + 2}
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[d] == want[d] for d in want if d % 3 != 1)
+    assert sum(out[d] == want[d] for d in want if d % 3 == 1) >= 24
+
+
+def test_similar_is_exact():
+    assert simhash.similar("a b c d e f g h", "A b c d e f g h", 5, 0.8)
+    assert simhash.similar(" ".join(map(str, range(8))), " ".join(map(str, range(9))), 5, 0.8)
+    assert not simhash.similar(" ".join(map(str, range(7))), " ".join(map(str, range(9))), 5, 0.8)
+    assert not simhash.similar("", "", 5, 0.8)
