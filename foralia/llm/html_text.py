@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foralia.runtime import materialize, table
 
-#: A subtree is template when this share of its host's pages, and at least so many of them, hold it.
+#: A subtree is template when this share of its host's different pages, and at least so many of them, hold it.
 MIN_SHARE = 0.2
 MIN_PAGES = 5
 
@@ -26,6 +26,7 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noe
 DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "svg", "button", "select", "object", "canvas", "dialog", "menu", "audio", "video", "map", "math"}
 PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption"}
 BLOCKS = PARAGRAPHS | {"html", "body", "main", "article", "section", "header", "div", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "caption", "figure", "address", "hr", "br", "fieldset", "details", "summary", "center", "nav", "footer", "aside", "form"}
+CONTAINERS = BLOCKS - PARAGRAPHS
 ENDS_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "summary"}
 #: Start tag -> (tags it closes when open, tags at which the search for them ends).
 CLOSES = {
@@ -125,6 +126,24 @@ def subtree_hashes(nodes: list[Node]) -> list[int | None]:
     return out
 
 
+def held_subtrees(page: str) -> tuple[int | None, list[tuple[int | None, int | None, int]]]:
+    """The page's own hash; each different subtree and hash of the container around it, 1 at the first one of a subtree, else 0.
+
+    The first entry is (None, None, 1) for the page itself. Paragraphs and inline elements are no containers.
+    """
+    nodes = parse(page)
+    hashes, around, seen = subtree_hashes(nodes), [0] * len(nodes), {None}
+    held = {(None, None): 1}
+    for k in range(1, len(nodes)):
+        up = nodes[k].parent
+        around[k] = up if up == 0 or nodes[up].tag in CONTAINERS else around[up]
+        pair = hashes[k], hashes[around[k]]
+        if hashes[k] is not None and pair not in held:
+            held[pair] = int(hashes[k] not in seen)
+            seen.add(hashes[k])
+    return hashes[0], [(h, a, f) for (h, a), f in held.items()]
+
+
 def marked(node: Node, inside: bool) -> bool:
     """Whether tag, role, class or id say that the element is not part of the article."""
     if node.tag in DROPPED or node.tag == "header" and not inside:
@@ -205,15 +224,23 @@ def host(url: str | Column) -> Column:
 
 
 def site_templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, templates array<long>): at most 1 / min_share times a page's elements for any host, however many pages it has."""
+    """(host, templates array<long>): at most 1 / min_share times a page's elements for any host, however many pages it has.
 
-    @F.pandas_udf("array<long>")
-    def hashes(pages_: pd.Series) -> pd.Series:
-        return pages_.map(lambda x: sorted({h for h in subtree_hashes(parse(x)) if h is not None}))
+    Pages with equal elements and texts count once, and a subtree counts no more often than there are different
+    containers around it: what recurs only because the text around it was copied is no template.
+    """
 
-    found = pages.select(host("url").alias("host"), hashes(F.coalesce("html", F.lit(""))).alias("hashes"))
-    found = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash"))
-    counts = found.groupBy("host", "hash").agg(F.count("*").alias("n"))
+    @F.pandas_udf("root long, held array<struct<hash:long,around:long,first:long>>")
+    def hashes(pages_: pd.Series) -> pd.DataFrame:
+        found = [held_subtrees(x) for x in pages_]
+        root = pd.Series([r for r, _ in found], dtype="Int64")
+        return pd.DataFrame({"root": root, "held": [[{"hash": h, "around": a, "first": f} for h, a, f in held] for _, held in found]})
+
+    found = pages.select(host("url").alias("host"), hashes(F.coalesce("html", F.lit(""))).alias("page")).select("host", "page.*")
+    found = found.groupBy("host", "root").agg(F.first("held").alias("held")).select("host", F.inline("held"))
+    counts = found.groupBy("host", "hash", "around").agg(F.sum("first").alias("n"))
+    counts = counts.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("*").alias("n_around"))
+    counts = counts.select("host", "hash", F.when(F.col("hash").isNull(), F.col("n")).otherwise(F.least("n", "n_around")).alias("n"))
     total = counts.where("hash is null").select("host", F.col("n").alias("n_pages"))
     often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages)).join(total, "host")
     return often.where(F.col("n") >= min_share * F.col("n_pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
@@ -222,8 +249,8 @@ def site_templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: in
 def extract_text(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of `pages` (url, html among them) and `text`.
 
-    Null or empty html gives empty text; a null or odd url belongs to the empty host; pages that repeat count each
-    time; deep nesting and unclosed elements are read like a browser would, approximately. No pages give no rows.
+    Null or empty html gives empty text; a null or odd url belongs to the empty host; each row of
+    pages that repeat gets its text; deep nesting and unclosed elements are read like a browser would, approximately. No pages give no rows.
     """
     templates = materialize(site_templates(pages, min_share, min_pages), "templates").withColumnRenamed("host", "_host")
 

@@ -44,5 +44,24 @@ def test_recurring_paragraphs_of_an_article_stay(spark):
     assert {r["text"] for r in out.collect()} == {f"shared paragraph\n{k}" for k in range(9)}
 
 
+def test_copies_of_a_page_make_no_templates(spark):
+    """Equal pages, and articles that are equal while something around them differs."""
+    menu = "<div><span>Start</span> <span>Contact</span></div>"
+    plain = lambda title: f"<head><title>t</title></head><body>{menu}<h1>{title}</h1><div><p>copied text</p></div></body>"
+    article = lambda k: f"<body>{menu}<article><section><p>copied section</p></section></article><i>seen {k}</i></body>"
+    pages = [(k, "http://a.example/", plain("copy")) for k in range(30)] + [(100 + k, "http://b.example/", article(k)) for k in range(30)]
+    pages += [(200 + k, f"http://{site}.example/", f"<body>{menu}<p>own text {k}</p></body>") for k in range(10) for site in "ab"]
+    out = h.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in out if r["page_id"] < 100} == {"copy\ncopied text"}
+    assert {r["text"] for r in out if 100 <= r["page_id"] < 200} == {"copied section"}
+    assert sorted(r["text"] for r in out if r["page_id"] >= 200) == sorted(f"own text {k}" for k in range(10) for _ in "ab")
+
+
+def test_repeats_inside_one_page_count_once(spark):
+    pages = [(k, "http://a.example/", "<body>" + "".join(f"<div>{k} {j}<p>and so on</p></div>" for j in range(9)) + "</body>" if k == 0 else f"<p>own {k}</p>") for k in range(6)]
+    out = {r["page_id"]: r["text"] for r in h.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[0].count("and so on") == 9
+
+
 def test_empty(spark):
     assert h.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
