@@ -8,7 +8,7 @@ left pays for the full Hamming check. Equal fingerprints are one class throughou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,6 +141,8 @@ SEGMENT_DIGITS = 6
 SEGMENTS = WIDE_BITS // 4 // SEGMENT_DIGITS
 #: Pairs that meet are compared in full only if their first 64 bits differ in no more than this (3.5 deviations).
 FIRST_MAX_BITS = 20
+#: Rows of a segment value that one block of its pairs takes on one side.
+BLOCK = 1000
 
 
 def wide_signature(text: str, width: int = WIDE_WIDTH) -> str:
@@ -202,12 +204,33 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return met.where(F.col("bits") <= SURE_BITS).select("a", "b").unionByName(read.where(alike("text_a", "text_b")).select("a", "b"))
 
 
+def _across(crowded: DataFrame, groups: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs (a, b) of one segment value in different groups whose first words are near, without the leads, which met all.
+
+    Members outside the largest group of their segment value meet all members in salted blocks of BLOCK rows, so a
+    large group never meets itself; at most twice the pairs that have to be decided are looked at.
+    """
+    at = ["segment", "value"]
+    rest = crowded.where("cls <> lead.cls").join(groups, F.col("cls") == F.col("node"), "left")
+    rest = rest.select(*at, F.coalesce("root", "cls").alias("group"), "cls", "word")
+    sizes = rest.groupBy(*at, "group").agg(F.count("*").alias("n")).groupBy(*at)
+    sizes = sizes.agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mixed = materialize(rest.join(sizes.select(*at, F.col("most.group").alias("most"), blocks.alias("blocks")), at), "mixed")
+    right = mixed.select(*at, F.pmod("cls", F.col("blocks")).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("group", "cls", "word")))
+    left = mixed.where("group <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select(*at, F.col("block").cast("long"), "most", *(F.col(c).alias(f"{c}_a") for c in ("group", "cls", "word")))
+    once = (F.col("group_b") == F.col("most")) | (F.col("cls_a") < F.col("cls_b"))
+    met = left.join(right, [*at, "block"]).where((F.col("group_a") != F.col("group_b")) & once).where(near("word_a", "word_b"))
+    return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
+
+
 def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, similarity: float = SIMILARITY, max_bits: int = WIDE_MAX_BITS) -> DataFrame:
     """(doc_id, mark, component_id) per row: texts whose shingle sets have a similarity of 0.8 or more, transitively.
 
     Signatures meet where a segment is equal. First each meets the smallest signature of its segment value, so a group
     of copies costs a row for each, not for each pair; then what these links left apart meets in pairs, one signature
-    per group and segment value. Measured recall is in the tests. Edge cases are those of near_duplicates.
+    per group and segment value first, then all signatures of groups that are still different. Measured recall is in the tests. Edge cases are those of near_duplicates.
     """
     rows = materialize(signatures(docs, width), "signatures")
     named = rows.withColumn("cls", F.xxhash64("signature"))
@@ -227,7 +250,10 @@ def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, similarity: float =
     left, right = (one.select("segment", "value", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "cls", "word"))) for k in "ab")
     apart = left.join(right, ["segment", "value"]).where(F.col("group_a") < F.col("group_b")).where(near("word_a", "word_b"))
     links_2 = _verified(apart.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")), classes, docs, width, similarity, max_bits)
-    linked = materialize(components(links_1.unionByName(links_2)), "components")
+    links_2 = materialize(links_1.unionByName(links_2), "links")
+    groups = materialize(components(links_2), "groups")
+    links_3 = _verified(_across(crowded, groups, near), classes, docs, width, similarity, max_bits)
+    linked = materialize(components(links_2.unionByName(links_3)), "components")
     least = linked.join(classes, linked["node"] == classes["cls"]).groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(least, "root").select(F.col("node").alias("cls"), "component_id")
     whole = classes.join(moved, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))

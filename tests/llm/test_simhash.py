@@ -109,3 +109,39 @@ def test_similar_is_exact():
     assert simhash.similar(" ".join(map(str, range(8))), " ".join(map(str, range(9))), 5, 0.8)
     assert not simhash.similar(" ".join(map(str, range(7))), " ".join(map(str, range(9))), 5, 0.8)
     assert not simhash.similar("", "", 5, 0.8)
+
+
+def test_every_member_of_a_family_meets_the_other_groups(spark):
+    """Variants of one text, and chains of edits that start at a variant: each similar pair that meets is linked."""
+    rng = random.Random(17)
+    base = [f"v{rng.randrange(5000)}" for _ in range(400)]
+
+    def edited(text, k, edits=8):
+        copy = list(text)
+        for at in rng.sample(range(5, 395, 5), edits):
+            copy[at] = f"e{k}x{at}"
+        return copy
+
+    family = [edited(base, k) for k in range(60)]
+    texts = [base, *family]
+    for k, member in enumerate(family):
+        for j in range(2):
+            member = edited(member, f"{k}c{j}")
+            texts.append(member)
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    signed = [simhash.wide_signature(t) for _, t in rows]
+    bits = [int(x, 16) for x in signed]
+    digits = simhash.SEGMENT_DIGITS
+    segments = [{x[at : at + digits] + str(at) for at in range(0, len(x), digits)} for x in signed]
+
+    def linked(i, j):
+        first = (int(signed[i][:8] + signed[i][8:16], 16) >> 1 ^ int(signed[j][:8] + signed[j][8:16], 16) >> 1).bit_count()
+        apart = (bits[i] ^ bits[j]).bit_count()
+        if not segments[i] & segments[j] or first > simhash.FIRST_MAX_BITS or apart > simhash.WIDE_MAX_BITS:
+            return False
+        return apart <= simhash.SURE_BITS or simhash.similar(rows[i][1], rows[j][1], 5, 0.8)
+
+    want = union_find([(i, j) for i in range(len(rows)) for j in range(i) if linked(i, j)], range(len(rows)))
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == want
