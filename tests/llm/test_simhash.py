@@ -82,26 +82,59 @@ def test_keep_one_handles_edges(docs, rows):
     assert len(corpus()) > len(ids)
 
 
-def test_groups_keep_what_is_under_the_similarity(spark):
-    """Every base has one copy at 0.8 or a little more and one at a little less: the shingles decide, not the signatures."""
+def exact_groups(rows):
+    """Components over all pairs of similar texts."""
+    return union_find([(i, j) for i in range(len(rows)) for j in range(i) if simhash.similar(rows[i][1], rows[j][1], 5, 0.8)], range(len(rows)))
+
+
+def found_groups(spark, rows):
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_recall_at_the_similarity_and_nothing_under_it(spark):
+    """Every base has a copy at 0.8 or a little more, one at 0.85 and one under 0.8: the shingles decide, not the signatures."""
     rng = random.Random(13)
     vocabulary = [f"v{k}" for k in range(5000)]
     rows, want = [], {}
-    for k in range(30):
+    for k in range(100):
         base = rng.choices(vocabulary, k=400)
-        sets = {0: 0, 1: 8, 2: 10}
-        for part, edits in sets.items():
+        for part, edits in {0: 0, 1: 8, 2: 10, 3: 6}.items():
             copy = list(base)
             for at in range(edits):
-                copy[20 + 35 * at] = f"edit{k}{part}{at}"
-            rows.append((3 * k + part, " ".join(copy)))
+                copy[20 + 35 * at + 7 * part] = f"edit{k}{part}{at}"
+            rows.append((4 * k + part, " ".join(copy)))
         shingles = lambda text: {tuple(text.split()[i : i + 5]) for i in range(396)}
-        a, b, c = (shingles(text) for _, text in rows[-3:])
-        assert len(a & b) / len(a | b) >= 0.8 > len(a & c) / len(a | c) and len(b & c) / len(b | c) < 0.8
-        want |= {3 * k: 3 * k, 3 * k + 1: 3 * k, 3 * k + 2: 3 * k + 2}
-    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(out[d] == want[d] for d in want if d % 3 != 1)
-    assert sum(out[d] == want[d] for d in want if d % 3 == 1) >= 24
+        a, b, c, d = (shingles(text) for _, text in rows[-4:])
+        assert 0.85 > len(a & b) / len(a | b) >= 0.8 > len(a & c) / len(a | c) and len(a & d) / len(a | d) >= 0.85
+        assert all(len(x & y) / len(x | y) < 0.8 for x, y in ((b, c), (b, d), (c, d)))
+        want |= {4 * k + part: 4 * k for part in (0, 1, 3)} | {4 * k + 2: 4 * k + 2}
+    out = found_groups(spark, rows)
+    assert all(out[d] == want[d] for d in want if d % 4 in (0, 2))
+    assert sum(out[d] == want[d] for d in want if d % 4 == 1) >= 92
+    assert sum(out[d] == want[d] for d in want if d % 4 == 3) >= 99
+
+
+def test_short_texts_are_exact(spark):
+    """Texts of one to a hundred words with a word more or less: all pairs at 0.8, whatever their signatures say."""
+    rng = random.Random(19)
+    texts = []
+    for k in range(60):
+        base = [f"s{rng.randrange(900)}" for _ in range(rng.choice([1, 4, 5, 8, 9, 13, 30, 66, 84]))]
+        texts += [base, [*base, f"more{k}"], base[1:], [*base[:-1], f"last{k}"], [f"first{k}", *base, f"end{k}"]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts) if t]
+    rows = [(k, text) for k, (_, text) in enumerate(rows)]
+    want = exact_groups(rows)
+    assert sum(want[k] != k for k in want) > 60
+    assert found_groups(spark, rows) == want
+
+
+def test_long_texts_need_no_more_memory():
+    import numpy as np
+
+    hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 3 * simhash.CHUNK + 7).astype(np.uint64))
+    whole = simhash._planes(hashes)
+    bits = 2 * np.unpackbits(whole, axis=1).sum(axis=0, dtype=np.int64) > len(hashes)
+    assert (simhash.wide_signature(hashes).astype(">i8").view(np.uint8) == np.packbits(bits)).all()
 
 
 def test_similar_is_exact():
@@ -130,18 +163,14 @@ def test_every_member_of_a_family_meets_the_other_groups(spark):
             texts.append(member)
     rng.shuffle(texts)
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
-    signed = [simhash.wide_signature(t) for _, t in rows]
-    bits = [int(x, 16) for x in signed]
-    digits = simhash.SEGMENT_DIGITS
-    segments = [{x[at : at + digits] + str(at) for at in range(0, len(x), digits)} for x in signed]
-
-    def linked(i, j):
-        first = (int(signed[i][:8] + signed[i][8:16], 16) >> 1 ^ int(signed[j][:8] + signed[j][8:16], 16) >> 1).bit_count()
-        apart = (bits[i] ^ bits[j]).bit_count()
-        if not segments[i] & segments[j] or first > simhash.FIRST_MAX_BITS or apart > simhash.WIDE_MAX_BITS:
-            return False
-        return apart <= simhash.SURE_BITS or simhash.similar(rows[i][1], rows[j][1], 5, 0.8)
-
-    want = union_find([(i, j) for i in range(len(rows)) for j in range(i) if linked(i, j)], range(len(rows)))
-    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == want
+    want, out = exact_groups(rows), found_groups(spark, rows)
+    assert sum(out[k] != want[k] for k in want) <= 0.03 * len(rows)
+
+
+def test_large_ids_and_nulls_survive(spark):
+    big = 2**53 + 1
+    rows = [(big, "one text of five words"), (None, "another text of five words"), (big + 2, "one text of five words")]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in out) == [(str(big), str(big)), (str(big + 2), str(big)), ("None", "None")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == [str(big), "None"]
