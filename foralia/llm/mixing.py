@@ -55,8 +55,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, budget: float = BU
 
 
 def demand_time(words: Column, target: Column, slope: Column) -> Column:
-    """The t at which the integral of target * (1 + slope * (2 t - 1)) reaches `words`."""
-    u = words / target
+    """The t at which the integral of target * (1 + slope * (2 t - 1)) reaches `words`; null where nothing is wanted."""
+    u = F.try_divide(words, target)
     return 2 * u / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u))
 
 
@@ -65,7 +65,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, budget: float = BUDGET,
 
     copies: array<struct<copy, words, position>> of the copies taken, the last one of a source in part so that taken
     words add up to floor(target). Order within a source: md5 of doc_id, doc_id, size; a null doc_id hashes as 'null'.
-    Null source is a source of its own; rows that repeat are streamed one after another; empty input gives no rows.
+    Null source is a source of its own; a source without words wants none and gives none; rows that repeat are streamed
+    one after another; empty input gives no rows.
     """
     docs = docs.drop("source_size", "target", "copies")
     per = materialize(targets(docs.select("source", "size"), weights, slopes, budget, most), "mix-sources")

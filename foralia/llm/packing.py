@@ -87,26 +87,27 @@ def shared_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PART = "array<struct<start:long,length:long,ids_crc32:long>>"
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Every document's ids, cut into full windows and one remainder; null text counts as empty."""
+    """Every document's ids, cut into full windows and one remainder; null text counts as empty. `row` numbers the input's rows."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(PART)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = shared_encoder(tokenizer)
-        for batch in batches:
+        for texts in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                ids = encoder.encode(text or "") + end
+            for text in texts:
+                ids = encoder.encode(text) + end
                 n = len(ids) // 4
-                rows += [(doc, a, min(window, n - a), zlib.crc32(ids[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append([{"start": a, "length": min(window, n - a), "ids_crc32": zlib.crc32(ids[4 * a : 4 * (a + window)])} for a in range(0, n, window)])
+            yield pd.Series(rows, dtype=object)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE)
+    whole = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), cut(F.coalesce("text", F.lit(""))).alias("parts"))
+    total = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"])
+    return whole.select("doc_id", "row", total.alias("doc_tokens"), F.inline("parts")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row")
 
 
 class OpenWindows:
@@ -164,24 +165,30 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
 
 
 def pack(cut: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces; `cut` should be materialized, its rows are counted first."""
+    """Adds sequence_id and offset to pieces and drops `row`; `cut` should be materialized, its rows are counted first.
+
+    Rows spread over the groups by their number too, so a document that comes many times fills no group of its own.
+    """
     groups = max(1, -(-cut.count() // group_pieces))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="last")
+        frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable", na_position="last")
         where, offsets = best_fit_decreasing(frame["length"].tolist(), window)
         frame["sequence_id"] = (frame["part"].to_numpy(np.int64) << 32) + np.array(where, np.int64)
         frame["offset"] = np.array(offsets, np.int64)
-        return frame.drop(columns="part")
+        return frame.drop(columns=["part", "row"])
 
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
-    return cut.withColumn("part", part).groupBy("part").applyInPandas(fit, f"{PIECE}, sequence_id long, offset long")
+    kept = [F.col("doc_id").cast("string").alias("doc_id"), *cut.columns[1:]]
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(groups))
+    form = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return cut.select(*kept, part.alias("part")).groupBy("part").applyInPandas(fit, form).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of `docs` (columns doc_id, text; others ignored) with the window and offset each was given.
 
-    Null text is one end id; a null doc_id stays null; repeated rows are packed once each; no rows give none.
+    Null text is one end id; a null doc_id stays null; repeated rows are packed once each; no rows give none. Which
+    sequence a piece comes to depends on the partitioning of `docs`; ids, cuts and checksums do not.
     """
     return pack(materialize(pieces(docs, tokenizer, window, end_id), "pieces"), window)
 

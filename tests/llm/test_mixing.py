@@ -78,3 +78,14 @@ def test_empty(none):
 
 def test_hash_order_is_md5():
     assert hashlib.md5(b"1").hexdigest() < hashlib.md5(b"2").hexdigest()
+
+
+def test_sources_and_tables_without_words(spark):
+    rows = [(1, "a b c", "x"), (2, "", "y"), (3, None, "y"), (4, " \t", None)]
+    form = "doc_id long, text string, source string"
+    for part in (rows, rows[1:]):
+        got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(part, form).withColumn("size", mixing.word_count("text"))).collect()}
+        assert len(got) == len(part)
+        assert all(not got[k]["copies"] and got[k]["target"] == 0 for k in (2, 3, 4))
+    ordered = mixing.in_training_order(mixing.mix(spark.createDataFrame(rows, form).withColumn("size", mixing.word_count("text"))))
+    assert sum(r["words"] for r in ordered.collect()) in (4, 5, 6)

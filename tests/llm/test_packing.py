@@ -72,3 +72,20 @@ def test_best_fit_decreasing_finds_the_tightest_window():
 
 def test_empty(none):
     assert packing.pack_documents(none, PATH).collect() == []
+
+
+def test_large_ids_beside_nulls_and_many_equal_rows(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "c")] + [(7, "same text")] * 60, "doc_id long, text string").coalesce(1)
+    got = packing.pack(packing.pieces(df, PATH).cache(), group_pieces=16).collect()
+    assert Counter(r["doc_id"] for r in got) == {big: 1, None: 1, 7: 60}
+    assert max(Counter(r["sequence_id"] >> 32 for r in got).values()) < 40
+
+
+def test_ids_equal_the_tokenizer_on_random_strings():
+    rng = random.Random(9)
+    encoder, tokenizer = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    letters = "abcdeABCDE éÉßñÑ'’.,;:!?-_()[]{}<>|/\\@#$%^&*+=~`\"0123456789\t\n\r\x0b\x0c\x1c\x85\u00a0\u200b日本ΣςǅİıſКж🙂\u0301\ufeff"
+    for _ in range(6000):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 40)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
