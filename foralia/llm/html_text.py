@@ -23,7 +23,7 @@ MIN_PAGES = 5
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
-DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "svg", "button", "select", "object", "canvas", "dialog", "menu", "audio", "video", "map", "math"}
+DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "svg", "button", "select", "object", "canvas", "dialog", "menu", "audio", "video", "map"}
 PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption"}
 BLOCKS = PARAGRAPHS | {"html", "body", "main", "article", "section", "header", "div", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "caption", "figure", "address", "hr", "br", "fieldset", "details", "summary", "center", "nav", "footer", "aside", "form"}
 CONTAINERS = BLOCKS - PARAGRAPHS
@@ -40,7 +40,7 @@ CLOSES = {
 }
 SCOPES = {"html", "body", "table", "td", "th", "caption", "object"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-#: Words of class and id values that mark what is not the article.
+#: Words of class and id values that mark what is not the article, where a value holds nothing but these and FURNITURE.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "masthead", "footer", "sidebar", "aside", "widget", "widgets",
@@ -48,8 +48,22 @@ MARKS = {
     "comment", "comments", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "toolbar", "search",
 }
 HEADERS = {"header", "topbar"}
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words that say where or what kind of box an element is, and nothing about its content.
+FURNITURE = {
+    "site", "page", "top", "bottom", "left", "right", "main", "global", "primary", "secondary", "sticky", "fixed", "inline", "mobile", "desktop", "native",
+    "box", "block", "bar", "area", "section", "wrapper", "wrap", "container", "content", "inner", "outer", "list", "item", "items", "panel", "region", "group",
+    "row", "col", "column", "slot", "unit", "zone", "link", "links", "form", "title", "text", "icon", "icons", "button", "buttons", "btn", "count", "feed", "thread", "trail",
+    "post", "posts", "article", "articles", "entry", "story", "stories", "user", "users", "reader", "readers", "visitor", "new", "more", "media", "js", "is", "has", "id", "header",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+OPENS = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+#: What follows a tag's name up to its end; a `>` inside quotes does not end it.
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Tags whose quotes do not close before the page is told to be read without regard to quotes: each costs a look at the whole rest.
+MOST_OPEN_QUOTES = 8
+#: Open elements looked at one by one before the places of the tags in question are compared.
+NEAR = 32
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -61,50 +75,103 @@ class Node:
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
 
 
+_BOUND, _LOOSE = frozenset(SCOPES), frozenset(BLOCKS | SCOPES)
+
+
+class Stack:
+    """Open elements, with the places of each tag, so that closing an element takes no search through deep nesting."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.places, self.loose = [0], ["html"], {"html": [0]}, [0]
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in _LOOSE:
+            self.loose.append(len(self.tags))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def pop_to(self, tags: frozenset[str], stop: frozenset[str]) -> None:
+        """Closes the innermost element of `tags` and all inside it, unless one of `stop` lies further in."""
+        if not any(map(self.places.get, tags)):
+            return None
+        for k in range(len(self.tags) - 1, max(0, len(self.tags) - 1 - NEAR), -1):
+            if self.tags[k] in tags:
+                return self._cut(k)
+            if self.tags[k] in stop:
+                return None
+        last = lambda names: max((p[-1] for p in map(self.places.get, names) if p), default=0)
+        k = last(tags)
+        if k > 0 and k > (self.loose[-1] if stop is _LOOSE else last(stop - tags)):
+            self._cut(k)
+        return None
+
+    def _cut(self, k: int) -> None:
+        for tag in self.tags[k:]:
+            self.places[tag].pop()
+        while self.loose[-1] >= k:
+            self.loose.pop()
+        del self.nodes[k:], self.tags[k:]
+
+
+_P, _BEFORE_P = frozenset({"p"}), frozenset(BLOCKS - {"p"})
+_CLOSES = {tag: (frozenset(closed), frozenset(stop)) for tag, (closed, stop) in CLOSES.items()}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+def tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text, False, '', '') and ('', closing, tag, attributes) in page order; comments and declarations are left out.
+
+    Takes time in proportion to the page. A tag that never ends is text.
+    """
+    at, end, last, open_quotes = 0, len(page), page.rfind(">"), 0
+    text_from = 0
+    while (found := OPENS.search(page, at)) and found.end() <= last:
+        start, tag = found.start(), found[2]
+        if tag is None:
+            close = page.find("-->", found.end()) if found[0] == "<!--" else page.find(">", found.end())
+            stop, attributes = (end if close < 0 else close + (3 if found[0] == "<!--" else 1)), ""
+        else:
+            rest = REST.match(page, found.end()) if open_quotes < MOST_OPEN_QUOTES else None
+            open_quotes += rest is None
+            stop = rest.end() if rest else page.find(">", found.end()) + 1
+            attributes = page[found.end() : stop - 1]
+        if start > text_from:
+            yield page[text_from:start], False, "", ""
+        at = text_from = stop
+        if tag is None:
+            continue
+        name = tag.lower()
+        yield "", bool(found[1]), name, attributes
+        if name in RAW and not found[1]:
+            close = _RAW_ENDS[name].search(page, at)
+            at = text_from = close.end() if close else end
+    rest = page[text_from:]
+    if rest and not (found and found[0] == "<!--"):
+        yield rest, False, "", ""
+    elif rest and found.start() > text_from:
+        yield page[text_from : found.start()], False, "", ""
+
+
 def parse(page: str) -> list[Node]:
     """Elements in page order, parents first; children are element numbers and raw texts. Any string is a page."""
-    nodes = [Node("html", "", -1)]
-    stack, at, end = [0], 0, len(page)
-
-    def pop_to(tags: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in tags:
-                del stack[k:]
-                return
-            if tag in stop:
-                return
-
-    while at < end:
-        found = TOKEN.search(page, at)
-        text = page[at : found.start() if found else end]
+    nodes, stack = [Node("html", "", -1)], Stack()
+    for text, closing, tag, attributes in tokens(page):
         if text:
-            nodes[stack[-1]].children.append(text)
-        if not found:
-            break
-        at = found.end()
-        closing, tag, attributes = found.groups()
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if closing:
-            pop_to({tag}, SCOPES - {tag} if tag in BLOCKS or tag in DROPPED else (BLOCKS | SCOPES) - {tag})
-            continue
-        if tag in ("html", "body"):
-            nodes[0].attributes += attributes if tag == "html" else ""
-            if tag == "html":
-                continue
-        if tag in ENDS_P:
-            pop_to({"p"}, BLOCKS - {"p"})
-        if tag in CLOSES:
-            pop_to(*CLOSES[tag])
-        nodes.append(Node(tag, attributes, stack[-1]))
-        nodes[stack[-1]].children.append(len(nodes) - 1)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(len(nodes) - 1)
+            nodes[stack.nodes[-1]].children.append(text)
+        elif closing:
+            stack.pop_to(frozenset({tag}), _BOUND - {tag} if tag in BLOCKS or tag in DROPPED else _LOOSE)
+        elif tag == "html":
+            nodes[0].attributes += attributes
+        else:
+            if tag in ENDS_P:
+                stack.pop_to(_P, _BEFORE_P)
+            if tag in _CLOSES:
+                stack.pop_to(*_CLOSES[tag])
+            nodes.append(Node(tag, attributes, stack.nodes[-1]))
+            nodes[stack.nodes[-1]].children.append(len(nodes) - 1)
+            if tag not in RAW and tag not in VOID and not attributes.endswith("/"):
+                stack.push(len(nodes) - 1, tag)
     return nodes
 
 
@@ -156,10 +223,11 @@ def marked(node: Node, inside: bool) -> bool:
             case "role":
                 if value.lower() in ROLES:
                     return True
-            case "class" | "id":
-                words = {w.lower() for w in WORDS.findall(value)}
-                if words & MARKS or not inside and words & HEADERS:
-                    return True
+            case "class" | "id" if node.tag not in HEADINGS:
+                for name_ in value.split():
+                    words = {w.lower() for w in WORDS.findall(name_)}
+                    if words & MARKS and words <= MARKS | FURNITURE or not inside and words & HEADERS and words <= FURNITURE | HEADERS:
+                        return True
             case "aria-hidden":
                 if value.lower() == "true":
                     return True
@@ -241,16 +309,18 @@ def site_templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: in
     counts = found.groupBy("host", "hash", "around").agg(F.sum("first").alias("n"))
     counts = counts.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("*").alias("n_around"))
     counts = counts.select("host", "hash", F.when(F.col("hash").isNull(), F.col("n")).otherwise(F.least("n", "n_around")).alias("n"))
+    counts = materialize(counts.where(F.col("hash").isNull() | (F.col("n") >= min_pages)), "subtrees")
     total = counts.where("hash is null").select("host", F.col("n").alias("n_pages"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages)).join(total, "host")
+    often = counts.where(F.col("hash").isNotNull()).join(total, "host")
     return often.where(F.col("n") >= min_share * F.col("n_pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
 def extract_text(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of `pages` (url, html among them) and `text`.
 
-    Null or empty html gives empty text; a null or odd url belongs to the empty host; each row of
-    pages that repeat gets its text; deep nesting and unclosed elements are read like a browser would, approximately. No pages give no rows.
+    Null or empty html gives empty text; a null or odd url belongs to the empty host; each row of pages that repeat
+    gets its text; deep nesting and unclosed elements are read like a browser would, approximately, in time that grows
+    with the page and no faster. A column `text` is replaced; no pages give no rows.
     """
     templates = materialize(site_templates(pages, min_share, min_pages), "templates").withColumnRenamed("host", "_host")
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from foralia.llm import html_text as h
@@ -19,6 +21,11 @@ CASES = [
     ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
     ("<p title='a > b'>quoted</p>", "quoted"),
     ("<div>" * 5000 + "deep", "deep"),
+    ('<article><h2 id="search-methods">Search methods</h2><p class="related-work">a</p><div id="comments-on-law">b</div><p>x <math><mi>y</mi></math></p></article>', "Search methods\na\nb\nx y"),
+    ('<article><h2 id="comments">On comments</h2><p>a</p><div class="reader-comments"><p>no</p></div><div class="share-buttons">no</div></article>', "On comments\na"),
+    ("<p>a<!-- never closed <p>b", "a"),
+    ("<p title='it's>a</p>b > c", "a\nb > c"),
+    ("a <b", "a <b"),
 ]
 
 
@@ -65,3 +72,14 @@ def test_repeats_inside_one_page_count_once(spark):
 
 def test_empty(spark):
     assert h.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<a "' * 250_000 + ">", "<b>" * 160_000 + "</i>" * 160_000, "<i><div>" + "<b>" * 160_000 + "</i>" * 160_000, "<!" * 500_000, "<p " * 330_000, "<script>" * 120_000, "<li>" * 250_000, "<table><tr><td>" * 60_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    h.main_text(page, {1})
+    h.held_subtrees(page)
+    assert time.process_time() - began < 12
+    began = time.process_time()
+    h.parse(page)
+    assert time.process_time() - began < 4
