@@ -63,7 +63,7 @@ REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: Tags whose quotes do not close before the page is told to be read without regard to quotes: each costs a look at the whole rest.
 MOST_OPEN_QUOTES = 8
 #: Open elements looked at one by one before the places of the tags in question are compared.
-NEAR = 32
+NEAR = 8
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
