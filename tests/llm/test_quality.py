@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from foralia.llm import quality
@@ -36,12 +37,39 @@ def test_binomial_is_exact():
             assert quality.at_most(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
-def test_certify_stops_at_the_first_cutoff_without_proof():
-    import numpy as np
+def test_certify_stops_at_the_first_step_without_proof():
+    assert quality.certify([0, 0, 1, 59], [5, 25, 5, 55], 5000, 0.005, 0.001) == 2
+    assert quality.certify([0, 0, 1, 59], [5, 25, 5, 55], 100, 0.005, 0.001) == 0
 
-    good, bad = np.array([0, 0, 1, 60]), np.array([5, 30, 35, 90])
-    assert quality.certify(good, bad, 5000, 0.005, 0.001) == 1
-    assert quality.certify(good, bad, 100, 0.005, 0.001) == -1
+
+def test_false_rejection_of_all_rules_together_stays_under_the_risk():
+    """Many holdouts of one stratum whose rules reject more and more good documents: the bound fails in no more than `level` of them."""
+    rng = np.random.default_rng(4)
+    shares, risk, level, n = np.full(12, 0.004), 0.02, 0.05, 1200
+    wrong, taken = 0, 0
+    for _ in range(2000):
+        good = rng.multinomial(n, [*shares, 1 - shares.sum()])[:-1]
+        steps = quality.certify(good.tolist(), [1000] * 12, n, risk, level)
+        wrong, taken = wrong + (shares[:steps].sum() > risk + 1e-12), taken + steps
+    assert wrong / 2000 <= level and taken / 2000 > 1
+
+
+def test_paths_take_the_step_that_gains_most():
+    none = {r: np.zeros(len(g), int) for r, g in quality.RULES.items()}
+    good, bad = dict(none), dict(none)
+    bad["symbol_rate"] = np.arange(len(none["symbol_rate"])) * 10
+    good["bang_rate"], bad["bang_rate"] = none["bang_rate"] + 5, none["bang_rate"] + 45
+    assert quality.draw_path(none, none) == []
+    path = quality.draw_path(good, bad)
+    assert path == [("symbol_rate", len(none["symbol_rate"]) - 1)]
+
+
+def test_copies_are_one_trial(spark):
+    docs, labels = make(spark, 60)
+    again = docs.union(docs.selectExpr("doc_id + 1000", "text", "lang")).union(docs.selectExpr("doc_id + 2000", "concat(text, ' more')", "lang"))
+    marks = labels.union(labels.selectExpr("doc_id + 1000", "quality")).union(labels.selectExpr("doc_id + 2000", "quality"))
+    measured = quality.features(again).drop("text")
+    assert 60 <= quality.trials(measured, marks).count() <= 75
 
 
 def make(spark, n):
@@ -70,6 +98,16 @@ def test_few_labels_certify_nothing(spark):
     assert all(r["kept"] for r in quality.judge(docs, labels).collect())
 
 
+def test_strata_draw_paths_from_each_other_and_large_ids_survive(spark):
+    docs, labels = make(spark, 1800)
+    big = 2**53 + 1
+    docs = docs.selectExpr("doc_id", "text", "if(doc_id % 3 = 0, 'en', if(doc_id % 3 = 1, 'es', null)) as lang")
+    docs = docs.union(spark.createDataFrame([(big, "x", "en"), (None, "y", "en")], docs.schema)).coalesce(1)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    assert {big, None} < set(got)
+    assert all(got[k] for k in range(1800) if k % 4) and not any(got[k] for k in range(0, 1800, 4))
+
+
 def test_edges(spark, docs, rows, none):
     labels = spark.createDataFrame([(1, None), (None, 1), (1, 0), (1, 1)], "doc_id long, quality int")
     got = quality.judge(docs, labels).collect()
