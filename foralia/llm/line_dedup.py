@@ -1,9 +1,10 @@
 """Line dedup with levelled sorted runs of line hashes, in DataFrame operations only.
 
-Documents come in batches of falling doc_id, so whatever batch brings a line first also holds its owner, the largest
-doc_id. Each batch's distinct keys are merge-anti-joined against all runs; the keys that no run knows become the
-batch's own sorted run, the others are noted as seen again. Every `fanout` runs of a level are compacted into one run
-of the next level. Runs are bucketed tables, so a batch is shuffled once and merges with each run where it lies.
+Runs hold (hash, owner, number of documents) with disjoint keys, sorted and bucketed by hash. A batch's distinct keys
+merge with every run: a key that a run knows raises that run's count and, where its doc_id is larger, its owner; the
+keys that no run knows are the batch's own run. Every `fanout` runs of a level are compacted into one of the next level.
+Runs are tables, so a batch is shuffled once and merges with each run where it lies; an index that is given a name
+outlives the job, and later batches go on from it.
 """
 
 from __future__ import annotations
@@ -26,16 +27,24 @@ HASH = ["h1", "h2"]
 
 
 class LineRuns:
-    """Sorted, bucketed runs (h1, h2, owner, n_docs) with disjoint keys, by level."""
+    """Sorted, bucketed runs (h1, h2, owner, n_docs) with disjoint keys, by level.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+    The tables of an index are named <index>__<level>_<id>; opening an index by its name finds them again. A document
+    may be added once: what a second batch says about the same doc_id counts as another document.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, index: str | None = None) -> None:
         self.spark, self.fanout = spark, fanout
+        self.index = index or f"line_runs_{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self.again: list[DataFrame] = []
+        for t in sorted(spark.catalog.listTables(pattern=f"{self.index}__*"), key=lambda t: t.name):
+            level = int(t.name.removeprefix(f"{self.index}__").split("_")[0])
+            self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+            self.levels[level].append(t.name)
 
-    def _write(self, df: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
+    def _write(self, df: DataFrame, level: int) -> str:
+        name = f"{self.index}__{level}_{uuid.uuid4().hex}"
         sorted_rows = df.repartition(self.buckets, *HASH)
         sorted_rows.write.option("path", f"{scratch_dir(self.spark)}/{name}").bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         return name
@@ -50,16 +59,21 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> None:
         """Takes a batch's distinct keys (h1, h2, owner, n_docs)."""
-        batch = self._write(keys)
+        if not self.names():
+            self.levels[0].append(self._write(keys, 0))
+            return
+        batch = self._write(keys, len(self.levels))
         fresh = self.spark.table(batch)
         for name in self.names():
             fresh = fresh.join(self.spark.table(name).select(HASH), HASH, "left_anti")
-        if self.names():
-            run = self._write(fresh)
-            self.again.append(materialize(self.spark.table(batch).join(self.spark.table(run).select(HASH), HASH, "left_anti"), "lines-again"))
-            self._drop(batch)
-        else:
-            run = batch
+        run = self._write(fresh, 0)
+        more = self.spark.table(batch).select(*HASH, F.col("owner").alias("_owner"), F.col("n_docs").alias("_n"))
+        for level in range(len(self.levels)):
+            for k, name in enumerate(self.levels[level]):
+                merged = self.spark.table(name).join(more, HASH, "left")
+                self.levels[level][k] = self._write(merged.select(*HASH, F.greatest("owner", "_owner").alias("owner"), (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs")), level)
+                self._drop(name)
+        self._drop(batch)
         self.levels[0].append(run)
         self._compact()
 
@@ -67,7 +81,7 @@ class LineRuns:
         k = 0
         while len(self.levels[k]) >= self.fanout:
             old = self.levels[k]
-            merged = self._write(reduce(DataFrame.unionByName, map(self.spark.table, old)))
+            merged = self._write(reduce(DataFrame.unionByName, map(self.spark.table, old)), k + 1)
             self.levels[k] = []
             if k + 1 == len(self.levels):
                 self.levels.append([])
@@ -76,16 +90,15 @@ class LineRuns:
                 self._drop(name)
             k += 1
 
-    def totals(self) -> DataFrame:
-        """(h1, h2, owner, n_docs) over everything added so far."""
-        parts = [*map(self.spark.table, self.names()), *self.again]
-        return reduce(DataFrame.unionByName, parts).groupBy(HASH).agg(F.max("owner").alias("owner"), F.sum("n_docs").alias("n_docs"))
+    def repeated(self, min_docs: int) -> DataFrame:
+        """(h1, h2, owner) of the keys that `min_docs` documents or more hold, over everything added so far: read off the runs."""
+        parts = [self.spark.table(name) for name in self.names()]
+        return reduce(DataFrame.unionByName, parts).where(F.col("n_docs") >= min_docs).select(*HASH, "owner")
 
     def drop(self) -> None:
         for name in self.names():
             self._drop(name)
-        for df in self.again:
-            drop_scratch(df)
+        self.levels = [[]]
 
 
 def _text(docs: DataFrame) -> DataFrame:
@@ -99,36 +112,41 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keyed.select("doc_id", "_mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def repeated_lines(lines: DataFrame, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """(h1, h2, owner) of the keys in `min_docs` documents or more, found batch by batch through the runs."""
+def repeated_lines(lines: DataFrame, min_docs: int, batches: int, fanout: int, index: str | None = None) -> DataFrame:
+    """(h1, h2, owner) of the keys in `min_docs` documents or more, found batch by batch through the runs.
+
+    With a name for the index its runs stay, and what earlier calls added to it counts; otherwise they go.
+    """
     cuts = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]).alias("q")).first()["q"] or []
     edges = sorted(set(cuts), reverse=True)
-    runs = LineRuns(lines.sparkSession, fanout)
-    for k in range(len(edges) + 1):
-        part = lines
-        if k:
-            part = part.where(F.coalesce(F.col("doc_id") <= edges[k - 1], F.lit(True)))
-        if k < len(edges):
-            part = part.where(F.col("doc_id") > edges[k])
-        once = part.select(*HASH, "doc_id").distinct()
-        runs.add(once.groupBy(HASH).agg(F.max("doc_id").alias("owner"), F.count("*").alias("n_docs")))
-    found = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select(*HASH, "owner"), "lines-repeated")
-    runs.drop()
-    return found
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    runs = LineRuns(lines.sparkSession, fanout, index)
+    try:
+        for k in range(len(edges) + 1):
+            part = lines
+            if k:
+                part = part.where(F.coalesce(F.col("doc_id") <= edges[k - 1], F.lit(True)))
+            if k < len(edges):
+                part = part.where(F.col("doc_id") > edges[k])
+            once = part.select(*HASH, "doc_id").distinct()
+            runs.add(once.groupBy(HASH).agg(F.max("doc_id").alias("owner"), F.count("*").alias("n_docs")))
+        return materialize(runs.repeated(min_docs), "lines-repeated")
+    finally:
+        if index is None:
+            runs.drop()
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, index: str | None = None) -> DataFrame:
     """`docs` with the kept text in `text`, plus n_lines and n_dropped.
 
     A key is a line stripped of ASCII white space with A-Z in lower case. Keys in `min_docs` distinct doc_ids or more
     lose all their lines but those of the largest doc_id. Null text is one empty line; a null doc_id counts as one
     document below all others; rows that repeat a doc_id are one document; other columns pass through, but n_lines and n_dropped are
-    replaced; no rows give none.
+    replaced; no rows give none. With a name for the index, lines of documents added to it before count too.
     """
     docs = docs.drop("n_lines", "n_dropped")
     marked = _text(docs)
     lines = materialize(line_keys(marked, min_chars), "lines")
-    hot = repeated_lines(lines, min_docs, batches, fanout)
+    hot = repeated_lines(lines, min_docs, batches, fanout, index)
     gone = lines.join(hot, HASH).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     gone = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("_mark").alias("_of")).agg(F.collect_set("pos").alias("_gone"))
     left = marked.drop("text").withColumn("_text", F.split("_text", "\n"))

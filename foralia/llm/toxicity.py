@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse words.
 
-One weight vector serves all thresholds: P(grade <= k) = sigmoid(threshold_k - w.x), thresholds increasing. The
-labels say toxic or not; toxic documents get grade 1 or 2 by how many of the marker words they hold.
+One weight vector serves all thresholds: P(grade <= k) = sigmoid(threshold_k - w.x), thresholds increasing. Grades are
+the labels' own, from 0 for clean upwards, any number of them; labels that say only yes or no give two grades, one
+threshold, and an expected severity that is the probability of toxic.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ MAX_FEATURES = 4096
 #: one passage repeat their contexts and prove nothing more than the first.
 MIN_CONTEXTS = 5
 MIN_WEIGHT = 2.5
-GRADES = 3
 RIDGE = 0.02
 STEPS = 800
 #: A document is called toxic from this probability of grade 1 or more: one marker word in a long text suffices.
@@ -45,6 +45,7 @@ def contexts_of(text: str) -> list[tuple[str, str]]:
 class OrdinalModel:
     vocabulary: dict[str, int]
     weights: np.ndarray
+    #: One fewer than grades.
     thresholds: np.ndarray
 
     def scores(self, texts) -> np.ndarray:
@@ -56,7 +57,7 @@ class OrdinalModel:
         return np.diff(below, axis=1, prepend=0.0, append=1.0)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int = GRADES, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from a sparse 0/1 matrix by full-batch Adam; weights are not negative (features are words of evidence); thresholds are a first value and positive gaps."""
     n = max(len(grades), 1)
     params = np.concatenate([np.zeros(n_features), [1.0], np.zeros(n_grades - 2)])
@@ -90,19 +91,22 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """Fits on at most `max_labelled` labelled documents, equal texts once, with at most `max_features` words.
 
-    Labels without doc_id or verdict are left out; of several for a document the worst counts. Without toxic
-    examples no word has weight and nothing is found toxic.
+    `labels.toxic` is the grade; under zero counts as zero. Labels without doc_id or grade are left out; of several for
+    a document, and of equal texts, the worst counts. Without toxic examples no word has weight and nothing is found
+    toxic. Other columns are ignored; rows that repeat change nothing; reruns agree.
     """
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    grade = F.greatest(F.lit(0), F.max("toxic")).cast("int")
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(grade.alias("grade"))
     place, span = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 1 << 30
     share = min(1.0, 1.2 * max_labelled / max(marks.count(), 1))  # so that tasks do not each hand on max_labelled rows
-    sample = marks.where(place < int(share * span)).orderBy(place, "doc_id").limit(max_labelled).select("doc_id", "toxic")
+    sample = marks.where(place < int(share * span)).orderBy(place, "doc_id").limit(max_labelled).select("doc_id", "grade")
     split = F.pandas_udf(lambda texts: texts.map(lambda x: sorted(words_of(x))), "array<string>")
     pairs = F.pandas_udf(lambda texts: texts.map(contexts_of), "array<struct<word:string,before:string>>")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = materialize(texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["same"]), "labelled")
-    bags = materialize(texts.select("doc_id", "toxic", split("text").alias("words")), "bags")
-    total = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    texts = texts.groupBy(F.xxhash64("text").alias("same")).agg(F.first("text").alias("text"), F.max("grade").alias("grade"), F.min("doc_id").alias("doc_id"))
+    texts = materialize(texts.withColumn("toxic", (F.col("grade") > 0).cast("int")), "labelled")
+    bags = materialize(texts.select("doc_id", "same", "grade", "toxic", split("text").alias("words")), "bags")
+    total = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.max("grade"), F.lit(0)).alias("most")).first()
     n_toxic, n_clean = total["t"], total["n"] - total["t"]
     counts = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
@@ -113,22 +117,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     words = [r["word"] for r in best]
     vocabulary = {w: k for k, w in enumerate(words)}
     keep = F.array_intersect("words", F.array(*map(F.lit, words))) if words else F.array().cast("array<string>")
-    known = bags.select("doc_id", "toxic", keep.alias("words")).toPandas().sort_values("doc_id", kind="stable")
-    toxic = known["toxic"].to_numpy(np.int64)
+    known = bags.select("doc_id", "same", "grade", keep.alias("words")).toPandas().sort_values(["doc_id", "same"], kind="stable")
+    grades = known["grade"].to_numpy(np.int64)
+    if not grades.any():
+        return OrdinalModel({}, np.zeros(0), np.array([50.0]))
     lists = [[vocabulary[w] for w in ws] for ws in known["words"]]
     cols = np.array([c for x in lists for c in x], np.int64)
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64)
-    markers = {vocabulary[r["word"]] for r in best if r["weight"] > 3}
-    hits = np.array([len(markers.intersection(x)) for x in lists])
-    middle = np.median(hits[toxic > 0]) if toxic.any() else 0
-    if not toxic.any():
-        return OrdinalModel({}, np.zeros(0), np.arange(50.0, 49.0 + GRADES))
-    weights, thresholds = fit_ordinal(rows, cols, toxic + ((toxic > 0) & (hits > middle)), len(words))
-    return OrdinalModel(vocabulary, weights, thresholds)
+    return OrdinalModel(vocabulary, *fit_ordinal(rows, cols, grades, len(words), total["most"] + 1))
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """(doc_id, toxic, grade, expected_severity, p_clean) per row of `docs`; null text has no words."""
+    """(doc_id, toxic, grade, expected_severity, p_clean) per row of `docs`; null text has no words, rows that repeat score alike."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 

@@ -36,18 +36,44 @@ def test_matches_brute_force(spark, batches, fanout):
     assert any(k[3] for k in found)
 
 
-def test_runs_compact_and_leave_nothing_behind(spark):
+def keys(spark, batch):
+    return spark.createDataFrame([(h, h, batch, 1) for h in range(batch * 5, batch * 5 + 10)], "h1 long, h2 long, owner long, n_docs long")
+
+
+def test_runs_carry_counts_and_owners_and_leave_nothing_behind(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([(h, h, k, 1) for h in range(k * 5, k * 5 + 10)], "h1 long, h2 long, owner long, n_docs long"))
+        runs.add(keys(spark, k))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    total = {r["h1"]: r["n_docs"] for r in runs.totals().collect()}
-    assert total == {h: 2 if 5 <= h < 25 else 1 for h in range(30)}
+    rows = [r for n in runs.names() for r in spark.table(n).collect()]
+    assert {r["h1"]: (r["n_docs"], r["owner"]) for r in rows} == {h: (2 if 5 <= h < 25 else 1, min(4, h // 5)) for h in range(30)}
+    assert len(rows) == 30
+    assert {r["h1"] for r in runs.repeated(2).collect()} == set(range(5, 25))
     names = runs.names()
-    assert sum(spark.table(n).count() for n in names) == 30
     runs.drop()
     assert not [t.name for t in spark.catalog.listTables() if t.name in names]
 
 
+def test_a_named_index_takes_later_batches(spark):
+    first = line_dedup.LineRuns(spark, fanout=2, index="kept_index")
+    for k in range(3):
+        first.add(keys(spark, k))
+    again = line_dedup.LineRuns(spark, fanout=2, index="kept_index")
+    assert again.levels == first.levels and again.names()
+    again.add(keys(spark, 3))
+    assert {r["h1"]: r["owner"] for r in again.repeated(2).collect()} == {h: h // 5 for h in range(5, 20)}
+    again.drop()
+
+
+def test_documents_that_come_later_meet_the_lines_of_earlier_ones(spark):
+    line = "this shared line is longer than twenty characters"
+    batch = lambda ids: spark.createDataFrame([(k, f"own text of {k}\n{line}") for k in ids], "doc_id long, text string")
+    early = line_dedup.dedup_lines(batch([1, 2]), index="two_jobs").collect()
+    assert all(r["n_dropped"] == 0 for r in early)
+    late = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(batch([3, 4]), index="two_jobs").collect()}
+    assert late == {3: 1, 4: 0}
+    line_dedup.LineRuns(spark, index="two_jobs").drop()
+
+
 def test_empty(none):
     assert line_dedup.dedup_lines(none).collect() == []
