@@ -1,15 +1,17 @@
-"""Removal of repeated byte strings by prefix doubling over positions.
-
-Ranks start as hashes of 32-byte prefixes, doubled up inside each text from single bytes. Of the 69 prefixes inside a
-100-byte string, the smallest rank is its home, so equal strings have equal homes and a run of strings that share a
-home travels as one row. Spark sorts (rank of the home, rank of the run) pairs: homes that occur once are unique and
-drop out; a run whose bytes have all occurred before is settled at once; the first runs of homes with several runs go
-on to the next round, where the full 100-byte ranks of their positions are sorted. 100 is past the threshold: what
-still shares a rank there is a repeat.
-
-Between the two rounds stand the pairs at doubled length: 100 bytes around a home reach 34 bytes or more beyond it on
-one side, so they also hold the home's pair with the rank 32 bytes before it or with the one 32 bytes after it. Of a
-pending run only those positions go on whose pair recurs under the home.
+"""Removal of repeated byte strings by distributed prefix doubling.
+
+Round 32. Ranks start as hashes of 32-byte prefixes, doubled up inside each text from single bytes. Of the 69 prefixes
+inside a 100-byte string, the smallest rank is its home, so equal strings have equal homes and a run of strings that
+share a home travels as one row. Spark sorts (rank of the home, rank of the run) pairs: homes that occur once are unique
+and drop out; a run whose bytes have all occurred before is settled at once; the first runs of homes with several runs
+are opened into positions. 100 bytes around a home reach 34 bytes or more beyond it on one side, so they also hold the
+home's pair with the rank 32 bytes before it or 32 bytes after it: only positions go on whose pair recurs.
+
+Round 64. Spark sorts the positions' rank pairs at offset 32; equal pairs get one new rank, the place of the first of
+them in that order, and unique positions drop out.
+
+Round 100. The new rank of a position and that of the position 36 bytes on cover 100 bytes. Spark sorts these pairs; 100
+is past the threshold, so what still shares a pair is a repeat, and all but the first of it go.
 """
 
 from __future__ import annotations
@@ -31,6 +33,11 @@ BLOCK = 1 << 18
 PLACE_BITS = 24
 #: A string that starts so far before its home holds the PREFIX bytes before it; one that starts later, those after it.
 BEFORE = (LENGTH - PREFIX) // 2
+#: Two prefixes of twice PREFIX bytes that start so far apart cover LENGTH bytes.
+OFFSET = LENGTH - 2 * PREFIX
+#: One text in HOT_SAMPLE is read ahead for homes that HOT_SHARE of its runs or more have (100 homes at most): their rows
+#: are aggregated and joined, where Spark can split them, instead of sorted in one task. Results do not depend on it.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 64, 0.01, 64
 NO_ID = (1 << 63) - 1
 
 
@@ -145,45 +152,123 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("mark"), text.alias("text"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, mark, spans array<long>) of the documents that hold a repeat; docs: (doc, mark, text), doc not null."""
-    start, count, mark = F.shiftright("place", 23), F.shiftright("place", 16).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(0xFFFF))
+def hot_homes(docs: DataFrame) -> list[int]:
+    """Homes common enough to be worth a way of their own."""
+    counts = anchors(docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0)).groupBy("home").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "homes")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = [r["home"] for r in counts.where(F.col("n") >= max(HOT_LEAST, HOT_SHARE * total)).select("home").collect()]
+    drop_scratch(counts)
+    return hot
+
+
+#: Of a run: what the sorts need to know about it.
+RUN = ["home", "doc", "mark", "start", "count", "again", "lead", "both_before", "both_after"]
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Unpacks place and sides."""
+    mark, start, count = F.col("place").bitwiseAND(F.lit(0xFFFF)), F.shiftright("place", 23), F.shiftright("place", 16).bitwiseAND(F.lit(127))
+    lead, before, after = F.shiftrightunsigned("sides", 56), F.shiftright("sides", 28) % (1 << 28), F.col("sides") % (1 << 28)
+    return rows.select("*", mark.alias("mark"), start.alias("start"), count.alias("count"), lead.alias("lead"), before.alias("before"), after.alias("after"))
+
+
+def _sorted_runs(rows: DataFrame) -> DataFrame:
+    """Runs that a sort by home and run leaves in question; both_before and both_after: whether the home's pair on that side recurs."""
     here = F.struct("doc", "place")
-    in_run = Window.partitionBy("home", "run").orderBy("doc", "place")
     every = Window.partitionBy("home")
-    ranked = anchors(docs).withColumn("again", here != F.first(here).over(in_run))
-    ranked = ranked.withColumn("alone", F.min("run").over(every) == F.max("run").over(every))
-    left = ranked.where("again or not alone").select("home", "doc", mark.alias("mark"), start.alias("start"), count.alias("count"), "again", F.shiftrightunsigned("sides", 56).alias("lead"), (F.shiftright("sides", 28) % (1 << 28)).alias("before"), (F.col("sides") % (1 << 28)).alias("after"))
+    ranked = rows.withColumn("again", here != F.first(here).over(Window.partitionBy("home", "run").orderBy("doc", "place")))
+    ranked = _parts(ranked.withColumn("alone", F.min("run").over(every) == F.max("run").over(every)).where("again or not alone"))
     recurs = lambda side: F.sum(F.when(~F.col("again"), 1)).over(Window.partitionBy("home", side)) > 1
-    early = F.when(recurs("before"), F.least("count", F.greatest(F.lit(0), F.col("lead") - BEFORE + 1))).otherwise(F.lit(0))
-    late = F.when(recurs("after"), F.least("count", F.greatest(F.lit(0), F.col("count") - F.greatest(F.lit(0), F.col("lead") - BEFORE + 1)))).otherwise(F.lit(0))
+    return ranked.withColumn("both_before", recurs("before")).withColumn("both_after", recurs("after")).select(RUN)
+
+
+def _joined_runs(rows: DataFrame) -> DataFrame:
+    """The same for a few homes with very many runs, by partial aggregates and joins."""
+    first = rows.groupBy("home", "run").agg(F.min(F.struct("doc", "place", "sides")).alias("first")).select("home", "run", "first.*")
+    first = materialize(first, "first-runs")
+    several = F.broadcast(first.groupBy("home").agg(F.count("*").alias("runs")).where("runs > 1").select("home"))
+    pending = _parts(first.join(several, "home"))
+    for side in ("before", "after"):
+        twice = pending.groupBy("home", side).agg((F.count("*") > 1).alias(f"both_{side}"))
+        pending = pending.join(twice, ["home", side])
+    known = first.select("home", "run", F.col("doc").alias("_doc"), F.col("place").alias("_place"))
+    again = _parts(rows.join(known, ["home", "run"]).where("doc <> _doc or place <> _place"))
+    again = again.withColumn("both_before", F.lit(False)).withColumn("both_after", F.lit(False))
+    return pending.withColumn("again", F.lit(False)).select(RUN).unionByName(again.withColumn("again", F.lit(True)).select(RUN))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc, mark, spans array<long>) of the documents that hold a repeat; docs: (doc, mark, text), doc not null."""
+    hot = hot_homes(docs)
+    if hot:
+        common = materialize(anchors(docs).where(F.col("home").isin(hot)), "hot-runs")
+        left = _sorted_runs(anchors(docs).where(~F.col("home").isin(hot))).unionByName(_joined_runs(common))
+    else:
+        left = _sorted_runs(anchors(docs))
+    reach = F.greatest(F.lit(0), F.col("lead") - BEFORE + 1)
+    early = F.when(~F.col("again") & F.col("both_before"), F.least("count", reach)).otherwise(F.lit(0))
+    late = F.when(~F.col("again") & F.col("both_after"), F.least("count", F.greatest(F.lit(0), F.col("count") - reach))).otherwise(F.lit(0))
     left = left.withColumn("early", early).withColumn("late", late)
     first = F.when(F.col("again") | (F.col("early") > 0), F.col("start")).otherwise(F.col("start") + F.col("count") - F.col("late"))
     left = left.select("doc", "mark", first.alias("start"), F.when(F.col("again"), F.col("count")).otherwise(F.col("early") + F.col("late")).alias("count"), "again").where("count > 0")
     left = materialize(left.sortWithinPartitions("doc", "start"), "ranked")
+    if hot:
+        drop_scratch(common)
     settled = left.where("again").select("doc", "mark", _span(F.col("start"), F.col("count")).alias("span"))
     pending = left.where("not again").groupBy("doc", "mark").agg(F.collect_list(F.shiftleft("start", 7).bitwiseOR(F.col("count"))).alias("pending"))
-
-    def full_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, text, mark_, packed in zip(batch["doc"], batch["text"], batch["mark"], batch["pending"], strict=True):
-                data, packed = text.encode(), np.asarray(packed, np.int64)
-                counts = packed & 127
-                at = np.repeat(packed >> 7, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                digest = xxhash.xxh3_128_digest
-                ranks = np.frombuffer(b"".join([digest(data[a : a + LENGTH]) for a in at.tolist()]), np.int32).reshape(-1, 4)
-                yield pd.DataFrame({"r1": ranks[:, :2].copy().view(np.int64)[:, 0], "r2": ranks[:, 2], "doc": doc, "place": at << 16 | mark_})
-
-    opened = docs.join(pending, ["doc", "mark"]).select("doc", "text", "mark", "pending").mapInPandas(full_ranks, "r1 long, r2 int, doc long, place long")
-    earlier = Window.partitionBy("r1", "r2").orderBy("doc", "place")
-    late = opened.withColumn("late", here != F.first(here).over(earlier)).where("late")
-    found = materialize(late.select("doc", F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("mark"), _span(F.shiftright("place", 16), F.lit(1)).alias("span")).sortWithinPartitions("doc", "span"), "repeated")
+    opened = docs.join(pending, ["doc", "mark"]).select("doc", "text", "mark", "pending").mapInPandas(positions, POSITION)
+    named = materialize(doubled(opened), "ranks")
+    found = materialize(repeated_starts(named).sortWithinPartitions("doc", "span"), "repeated")
+    drop_scratch(named)
     spans = materialize(settled.unionByName(found).groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")), "spans")
     drop_scratch(left)
     drop_scratch(found)
     return spans
 
 
+POSITION = "r1 long, r2 long, doc long, place long"
+
+
+def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(r1, r2, doc, place): the rank pair at offset PREFIX of each pending start and of the position OFFSET after it.
+
+    place packs the position, whether it is a pending start itself, and the mark of the text.
+    """
+    for batch in batches:
+        for doc, text, mark, packed in zip(batch["doc"], batch["text"], batch["mark"], batch["pending"], strict=True):
+            packed = np.asarray(packed, np.int64)
+            counts = packed & 127
+            starts = np.unique(np.repeat(packed >> 7, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+            at = np.union1d(starts, starts + OFFSET)
+            pending = np.isin(at, starts, assume_unique=True).astype(np.int64)
+            data = np.frombuffer(text.encode(), np.uint8)
+            for k in range(0, len(at), BLOCK):
+                some = at[k : k + BLOCK]
+                ranks = prefix_ranks(data[some[0] : some[-1] + 2 * PREFIX]).view(np.int64)
+                yield pd.DataFrame({"r1": ranks[some - some[0]], "r2": ranks[some - some[0] + PREFIX], "doc": doc, "place": some << 17 | pending[k : k + BLOCK] << 16 | mark})
+
+
+def doubled(opened: DataFrame) -> DataFrame:
+    """(doc, place, rank): positions whose pair another position has too, with the pair's place in sorted order as their rank."""
+    ordered = opened.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "doc", "place").withColumn("at", F.monotonically_increasing_id())
+    same = Window.partitionBy("r1", "r2").orderBy("doc", "place")
+    ranked = ordered.select("doc", "place", F.first("at").over(same).alias("rank"), F.lag("at").over(same).alias("before"), F.lead("at").over(same).alias("after"))
+    return ranked.where("before is not null or after is not null").select("doc", "place", "rank")
+
+
+def repeated_starts(named: DataFrame) -> DataFrame:
+    """(doc, mark, span) of the pending starts whose pair at OFFSET is not the first of its kind."""
+    mark, at = F.col("place").bitwiseAND(F.lit(0xFFFF)), F.shiftright("place", 17)
+    whole = named.select("doc", mark.alias("mark"), at.alias("at"), F.shiftright("place", 16).bitwiseAND(F.lit(1)).alias("pending"), "rank")
+    further = Window.partitionBy("doc", "mark").orderBy("at").rangeBetween(OFFSET, OFFSET)
+    pairs = whole.withColumn("next", F.first("rank").over(further)).where("pending = 1 and next is not null")
+    here = F.struct("doc", "at", "mark")
+    same = Window.partitionBy("rank", "next").orderBy("doc", "at", "mark")
+    late = pairs.withColumn("late", here != F.first(here).over(same)).where("late")
+    return late.select("doc", "mark", _span(F.col("at"), F.lit(1)).alias("span"))
+
+
 KEPT = "n_removed long, n_spans long, kept binary"
 
 

@@ -35,8 +35,12 @@ def texts(seed):
     return [*out, out[3], out[3], "a" * 400, "ab" * 150, "x" * 99, "y" * 100, "y" * 100, "", None]
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, False), (1, False), (2, True)])
+def test_matches_brute_force(spark, monkeypatch, seed, hot):
+    if hot:
+        monkeypatch.setattr(sd, "HOT_SAMPLE", 1)
+        monkeypatch.setattr(sd, "HOT_LEAST", 3)
+        monkeypatch.setattr(sd, "HOT_SHARE", 0.0)
     rows = [(k, t) for k, t in enumerate(texts(seed))]
     rows += [(3, rows[3][1]), (3, rows[3][1]), (None, rows[5][1]), (None, None)]
     got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
@@ -56,3 +60,15 @@ def test_edges(spark, docs, rows, none):
     assert sd.remove_repeats(none).collect() == []
     assert sd.remove_repeats(docs).count() == len(rows)
     assert sd.remove_repeats(spark.createDataFrame([(1, "short", None, None, None, None, None, None, None)], SCHEMA)).collect()[0]["n_removed"] == 0
+
+
+def test_a_filler_in_every_document_is_hot(spark, monkeypatch):
+    """One home with most of all rows: whichever way it goes, the result is the same."""
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choices("abc ", k=rng.randint(0, 60))) + "ab" * rng.randint(60, 200) + str(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda: Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.remove_repeats(df).collect())
+    assert found() == brute(rows)
+    monkeypatch.setattr(sd, "HOT_SAMPLE", 1)
+    assert sd.hot_homes(sd._keyed(df))
+    assert found() == brute(rows)
