@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` computed once a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_accents(text: Column) -> Column:
     """Lower case without accents for Latin letters, inside the JVM."""
     return F.lower(F.translate(text, ACCENTED, PLAIN))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foralia.functions.ids import article_key
+from foralia.functions.text import once
 from foralia.operators.temporal import timelines
+from foralia.runtime import spread
 
 # Short names of laws and their gazette ids.
 ALIASES = {
@@ -61,7 +63,10 @@ def _canonical(family: str | None, raw: str) -> str | None:
 
 
 def find(text: str, dates_as_claims: bool = True) -> list[tuple]:
-    """All citations of a text by place; see FORMS. With dates_as_claims=False a plain date is no claim number."""
+    """All citations of a text by place; see FORMS. With dates_as_claims=False a plain date is no claim number.
+
+    A court named without a number within WINDOW characters of a ruling's identifier says nothing more and is dropped.
+    """
     out, taken = [], []
     for kind, family, pattern, covers in FORMS:
         for m in pattern.finditer(text):
@@ -87,35 +92,38 @@ def find(text: str, dates_as_claims: bool = True) -> list[tuple]:
             out.append((kind, raw, a, b, boe, article, suffix, paragraph, label, own, ref, _canonical(family, raw)))
             if covers:
                 taken.append((a, b))
-    return sorted(out, key=lambda c: c[2])
+    named = [(c[2], c[3]) for c in out if c[11] is not None]
+    near = lambda a, b: any(max(a, x) - min(b, y) <= WINDOW for x, y in named)
+    bare = lambda c: c[0] == "jurisprudence" and c[11] is None and c[10] is None
+    return sorted((c for c in out if not (bare(c) and near(c[2], c[3]))), key=lambda c: c[2])
 
 
 def extract(texts: DataFrame, text: str = "text", dates_as_claims: bool = True) -> DataFrame:
     """Adds `citations`, an array in order of place; null text has none. Bare court names near an identifier are dropped."""
 
-    @F.pandas_udf(T.ArrayType(CITATION))
-    def search(values: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(CITATION.names, c, strict=True)) for c in find(v, dates_as_claims)] for v in values], dtype=object)
+    @F.pandas_udf(T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in CITATION]))
+    def search(values: pd.Series) -> pd.DataFrame:
+        none = [()] * len(CITATION)
+        rows = [list(zip(*found, strict=True)) if (found := find(v, dates_as_claims)) else none for v in values]
+        return pd.DataFrame({name: pd.Series([row[k] for row in rows], dtype=object) for k, name in enumerate(CITATION.names)})
 
-    found = texts.withColumn("citations", search(F.coalesce(text, F.lit(""))))
-    gap = lambda a, b: F.greatest(F.lit(0), F.greatest(a["start"], b["start"]) - F.least(a["stop"], b["stop"]))
-    bare = lambda c: (c["kind"] == "jurisprudence") & c["canonical"].isNull() & c["ref"].isNull()
-    named = F.filter("citations", lambda c: c["canonical"].isNotNull())
-    return found.withColumn("citations", F.filter("citations", lambda c: ~(bare(c) & F.exists(named, lambda n: gap(c, n) <= WINDOW))))
+    found = spread(texts).withColumn("_found", search(F.coalesce(text, F.lit(""))))
+    zipped = F.arrays_zip(*(F.col(f"_found.{name}") for name in CITATION.names))
+    return found.withColumn("citations", zipped).drop("_found")
 
 
 def associate(found: DataFrame) -> DataFrame:
     """Gives each article the gazette id of the nearest norm by distance of centres, the earlier one on a tie."""
-    carriers = F.filter("citations", lambda c: c["boe_id"].isNotNull() & c["kind"].isin("boe_state", "boe_regional", "alias", "law_reference"))
+    carries = lambda c: c["boe_id"].isNotNull() & c["kind"].isin("boe_state", "boe_regional", "alias", "law_reference")
     centre = lambda c: F.floor((c["start"] + c["stop"]) / 2)
 
-    def tie(c: Column) -> Column:
+    def tie(c: Column, carriers: Column) -> Column:
         near = F.array_sort(F.transform(carriers, lambda n: F.struct(F.abs(centre(c) - centre(n)).alias("distance"), n["start"].alias("at"), n["boe_id"].alias("boe_id"), n["label"].alias("label"))))
         best = F.try_element_at(F.filter(near, lambda n: n["distance"] <= WINDOW), F.lit(1))
-        tied = F.coalesce(c["boe_id"], best["boe_id"])
-        return F.when((c["kind"] == "article") & best.isNotNull(), c.withField("boe_id", tied).withField("label", F.coalesce(c["label"], best["label"]))).otherwise(c)
+        tied = c.withField("boe_id", F.coalesce(c["boe_id"], best["boe_id"])).withField("label", F.coalesce(c["label"], best["label"]))
+        return F.when((c["kind"] == "article") & best.isNotNull(), tied).otherwise(c)
 
-    return found.withColumn("citations", F.transform("citations", tie))
+    return found.withColumn("citations", once(F.filter("citations", carries), lambda carriers: F.transform("citations", lambda c: tie(c, carriers))))
 
 
 def documented(sources: DataFrame) -> DataFrame:
@@ -124,13 +132,15 @@ def documented(sources: DataFrame) -> DataFrame:
     return sources.select("boe_id", key.alias("k")).where("boe_id is not null and k is not null").select("boe_id", F.col("k.number").alias("number"), F.coalesce("k.suffix", F.lit("")).alias("suffix")).distinct()
 
 
-def verify(texts: DataFrame, ident: str, day: Column, normas: DataFrame, versions: DataFrame, pinpoints: DataFrame, rulings: DataFrame | None = None, this_year: int = 2026, text: str = "text", dates_as_claims: bool = True) -> DataFrame:
+def verify(texts: DataFrame, ident: str, day: Column, normas: DataFrame, versions: DataFrame, pinpoints: DataFrame, rulings: DataFrame | None = None, this_year: int | Column | None = None, text: str = "text", dates_as_claims: bool = True) -> DataFrame:
     """One row per citation: (ident, place, kind, raw, boe_id, level, code); level is null where nothing is wrong.
 
     Blocking: unknown norms, repealed or annulled ones, ids with impossible years, articles no catalogue documents,
     rulings not in the registry. Warnings: suspended norms, no version on the day, articles tied to no norm, rulings
-    named without a number.
+    named without a number. A year is impossible before FIRST_YEAR or more than one after this_year, by default the
+    year in which the query runs.
     """
+    latest = (F.year(F.current_date()) if this_year is None else F.lit(this_year) if isinstance(this_year, int) else this_year) + 1
     found = associate(extract(texts, text, dates_as_claims)).select(ident, day.alias("_day"), F.posexplode("citations").alias("place", "c"))
     cited = found.select(ident, "_day", "place", "c.*")
     known = normas.select("boe_id").distinct().withColumn("_known", F.lit(True))
@@ -148,7 +158,7 @@ def verify(texts: DataFrame, ident: str, day: Column, normas: DataFrame, version
     state, article, ruling = F.col("boe_id").startswith("BOE-A-"), F.col("kind") == "article", F.col("kind") == "jurisprudence"
     ladder = [
         (norm & F.col("boe_id").isNull(), "warning", "UNRESOLVED_LAW"),
-        (norm & state & ~year.between(FIRST_YEAR, this_year + 1), "blocking", "SUSPICIOUS_YEAR"),
+        (norm & state & ~year.between(F.lit(FIRST_YEAR), latest), "blocking", "SUSPICIOUS_YEAR"),
         (norm & F.col("_known").isNull(), "blocking", "UNKNOWN_NORM"),
         (norm & live.isNull(), "warning", "NO_VERSION"),
         (norm & live["status"].isin("derogada", "inconstitucional"), "blocking", "NOT_IN_FORCE"),

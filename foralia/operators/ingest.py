@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foralia.functions.text import normalize, word_in
+from foralia.functions.text import normalize, once
 
 # Prefixes of a heading and the kind of norm they announce, in the order in which they are tried.
 KINDS = (
@@ -57,25 +57,34 @@ def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
 
 def norm_kind(heading: Column) -> Column:
     """Kind by the first prefix that fits; null for headings that are no norms."""
-    folded, out = normalize(heading), F.lit(None).cast("string")
-    for prefix, kind in reversed(KINDS):
-        out = F.when(folded.startswith(prefix), F.lit(kind)).otherwise(out)
-    return out
+
+    def ladder(folded: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for prefix, kind in reversed(KINDS):
+            out = F.when(folded.startswith(prefix), F.lit(kind)).otherwise(out)
+        return out
+
+    return once(normalize(heading), ladder)
 
 
 def keywords(title: Column, phrases: tuple[str, ...] = PHRASES, words: tuple[str, ...] = WHOLE_WORDS) -> Column:
     """Phrases contained, then words held whole, in the order of their lists."""
-    folded = normalize(title)
-    hits = [F.when(F.contains(folded, F.lit(p)), F.lit(p)) for p in phrases] + [F.when(word_in(folded, w), F.lit(w)) for w in words]
-    return F.array_compact(F.array(*hits))
+    listed = lambda values: F.array(*map(F.lit, values))
+    whole = lambda w: F.concat(F.lit(r"(?U)\b\Q"), w, F.lit(r"\E\b"))
+
+    def held(folded: Column) -> Column:
+        parts = F.filter(listed(phrases), lambda p: F.contains(folded, p))
+        return F.concat(parts, F.filter(listed(words), lambda w: F.contains(folded, w) & F.rlike(folded, whole(w))))
+
+    return once(normalize(title), held)
 
 
 def classify(items: DataFrame) -> DataFrame:
     """Adds kind, matched and relevance (fiscal, probable, no_fiscal) from departamento, epigrafe and titulo."""
-    title, department = normalize(F.coalesce("titulo", F.lit(""))), normalize(F.coalesce("departamento", F.lit("")))
+    any_of = lambda c, phrases: once(normalize(F.coalesce(c, F.lit(""))), lambda x: contains_any(x, phrases))
     out = items.withColumn("kind", norm_kind(F.coalesce("epigrafe", F.lit("")))).withColumn("matched", keywords(F.coalesce("titulo", F.lit(""))))
-    refused = F.col("kind").isNull() | contains_any(title, EXCLUDED)
-    relevance = F.when(refused, "no_fiscal").when(contains_any(department, TAX_DEPARTMENTS), "fiscal").when(contains_any(department, OTHER_DEPARTMENTS) & (F.size("matched") > 0), "probable")
+    refused = F.col("kind").isNull() | any_of("titulo", EXCLUDED)
+    relevance = F.when(refused, "no_fiscal").when(any_of("departamento", TAX_DEPARTMENTS), "fiscal").when(any_of("departamento", OTHER_DEPARTMENTS) & (F.size("matched") > 0), "probable")
     out = out.withColumn("relevance", F.coalesce(relevance, F.lit("no_fiscal")))
     return out.withColumn("matched", F.when(refused, F.expr("cast(array() as array<string>)")).otherwise(F.col("matched")))
 

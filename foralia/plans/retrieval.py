@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foralia.functions import text as tx
 from foralia.functions.scales import round_half_up
-from foralia.operators import calendar, chunking, citations, doctrine, drift, ingest, retrieval
+from foralia.operators import calendar, chunking, citations, doctrine, drift, ingest, retrieval, vat
 from foralia.runtime import table
 
 QUERY = "the thing and eaner de la the"
@@ -94,9 +94,7 @@ SELECT chunk_id, floor(score * 1000000000 + 0.5) / 1000000000 AS score, rank FRO
 
 def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sparse hash vector in 1024 dimensions, one row per place."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("token"))
-    place = (F.conv(F.substring(F.sha2("token", 256), 1, 8), 16, 10).cast("long") % 1024).cast("int")
-    return docs.groupBy("doc_id", place.alias("place")).agg(F.count("*").alias("n"))
+    return retrieval.sparse_embeddings(_chunks(spark, sf_dir)).withColumnRenamed("chunk_id", "doc_id")
 
 
 HASH_SQL = f"""
@@ -109,14 +107,14 @@ def context_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve longest documents of each language as one context."""
     order = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
     ranked = table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(order)).where("rank <= 12")
-    ranked = ranked.select(F.col("lang").alias("query_id"), "rank", F.lit("doc").alias("source_type"), F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(40)).alias("text"))
+    ranked = ranked.select(F.col("lang").alias("query_id"), "rank", F.lit("doc").alias("source_type"), F.col("doc_id").alias("chunk_id"), "text")
     built = retrieval.build_context(ranked.withColumn("chunk_id", F.col("chunk_id").cast("string")))
     return built.select(F.col("query_id").alias("lang"), F.sha2("context", 256).alias("context_hash"))
 
 
 CONTEXT_SQL = """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
-SELECT lang, sha256(string_agg('[' || rank || '] doc | ' || doc_id || chr(10) || left(text, 40), chr(10) || chr(10) ORDER BY rank)) AS context_hash FROM r WHERE rank <= 12 GROUP BY lang
+SELECT lang, sha256(string_agg('[' || rank || '] doc | ' || doc_id || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank)) AS context_hash FROM r WHERE rank <= 12 GROUP BY lang
 """
 
 
@@ -261,8 +259,8 @@ SELECT o_orderkey, kind, CASE WHEN kind IS NULL OR k = 3 THEN 'no_fiscal' WHEN s
 
 def accent_fold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold two words, accents aside."""
-    hay = tx.fold_accents(F.col("text"))
-    return table(spark, sf_dir, "documents").where(F.contains(hay, F.lit("etre")) & F.contains(hay, F.lit("eau"))).select("doc_id", F.sha2(hay, 256).alias("folded"))
+    operations = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"), F.lit(None).cast("array<string>").alias("keywords"))
+    return vat.lookup(operations, F.lit(" Être  EAU")).select("doc_id", F.sha2(tx.fold_accents(F.col("description")), 256).alias("folded"))
 
 
 ACCENT_SQL = f"""
@@ -326,7 +324,7 @@ FROM o WHERE NOT (k % 9 = 0 AND k % 6 = 0) AND (k % 9 = 0 OR k % 6 = 0 OR k % 8
 
 def impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as carriers that cite parts as articles of their supplier's law; the carriers of each are counted and hashed."""
-    items = table(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0")
+    items = table(spark, sf_dir, "lineitem")
     source = F.struct(F.concat(F.lit("L"), F.col("l_suppkey").cast("string")).alias("boe_id"), F.concat(F.lit("art. "), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, " bis").otherwise("")).alias("article"))
     index = drift.impact_index(items.select(F.col("l_orderkey").cast("string").alias("id"), F.array(source).alias("sources")))
     return index.select("boe_id", F.col("article.number").alias("number"), F.coalesce("article.suffix", F.lit("")).alias("suffix"), F.array_join("carriers", ",").alias("carriers"))
@@ -335,7 +333,7 @@ def impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 IMPACT_SQL = """
 SELECT 'L' || l_suppkey AS boe_id, l_partkey::VARCHAR AS number, CASE WHEN l_linenumber % 2 = 0 THEN 'bis' ELSE '' END AS suffix,
        array_to_string(list_sort(list(DISTINCT l_orderkey::VARCHAR)), ',') AS carriers
-FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY 1, 2, 3
+FROM lineitem GROUP BY 1, 2, 3
 """
 
 

@@ -118,9 +118,10 @@ FROM orders o LEFT JOIN v ON v.norm = o.o_custkey % 4 AND CAST(o.o_orderdate AS
 
 def select_scale_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several scales in force the last loaded one is taken."""
-    scales = spark.createDataFrame([("x", *r) for r in OVERLAPPING], "kind string, ordinal int, scale_id string, effective_from date, effective_to date")
-    hit = temporal.as_of_join(_days(spark, sf_dir).withColumn("kind", F.lit("x")), scales, ["kind"], "day", pick="last", order="ordinal")
-    return hit.select("o_orderkey", F.col("version.scale_id").alias("scale_id"))
+    scales = spark.createDataFrame(OVERLAPPING, "ordinal int, scale_id string, effective_from date, effective_to date")
+    scales = scales.select("*", F.array("scale_id").alias("brackets"), F.lit(2024).alias("tax_year"), F.lit("estatal").alias("scope"), F.lit("general").alias("component"), F.lit(None).cast("string").alias("region"))
+    orders = _days(spark, sf_dir).withColumn("tax_year", F.lit(2024))
+    return quota.select_scale(orders, scales, "estatal", "general", "scale").select("o_orderkey", F.try_element_at("scale", F.lit(1)).alias("scale_id"))
 
 
 LAST_WINS_SQL = f"""
@@ -253,7 +254,7 @@ SELECT n_regionkey, a AS n_nationkey, min(b) AS component FROM r GROUP BY 1, 2
 
 def quota_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as applied rules of their order, summed into the quota's buckets."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+    items = table(spark, sf_dir, "lineitem")
     flag, line = F.col("l_returnflag"), F.col("l_linenumber")
     article = F.when(line == 4, F.lit("Art. 81 bis")).otherwise(F.lit("art. 68"))
     evaluations = items.select(
@@ -268,7 +269,7 @@ BUCKETS_SQL = """
 WITH e AS (
   SELECT l_orderkey % 1000 AS profile_id, l_quantity AS x,
          CASE WHEN l_returnflag = 'A' THEN 'reductions' WHEN l_linenumber = 1 THEN 'minimum' WHEN l_linenumber = 4 THEN 'differential' WHEN l_linenumber = 2 THEN 'state' ELSE 'regional' END AS k
-  FROM lineitem WHERE l_linenumber <= 4 AND l_linestatus = 'O'
+  FROM lineitem WHERE l_linestatus = 'O'
 )
 SELECT profile_id, sum(CASE WHEN k = 'reductions' THEN x ELSE 0.0 END)::DOUBLE AS reductions, sum(CASE WHEN k = 'minimum' THEN x ELSE 0.0 END)::DOUBLE AS minimum,
        sum(CASE WHEN k = 'state' THEN x / 2 ELSE 0.0 END)::DOUBLE AS state, sum(CASE WHEN k = 'state' THEN x / 2 WHEN k = 'regional' THEN x ELSE 0.0 END)::DOUBLE AS regional,

@@ -26,10 +26,13 @@ def text_batches(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir of the session.
 
-    Only where it is unset (local tests) a folder of this machine is used, and the setting is filled in.
+    Only where it is unset and Spark runs on this machine alone (local tests) a folder of this machine is used, and the
+    setting is filled in; on a cluster without the setting executors would write where no other sees it: an error.
     """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="foralia-scratch-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known
@@ -64,6 +67,12 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it comes in fewer parts, as one small file does; for work that costs far more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table by the path only Spark needs to understand."""
     text_batches(spark)

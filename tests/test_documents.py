@@ -1,4 +1,5 @@
 import json
+import os
 import re
 from datetime import date
 
@@ -137,6 +138,18 @@ def test_upserts_on_disk_are_idempotent(spark, tmp_path):
     assert [r["k"] for r in store.recent(spark, f"{path}-log", "year", 2).collect()] == [3, 2]
 
 
+def test_an_upsert_that_died_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda *xs: spark.createDataFrame(xs, "k long, content_hash string")
+    store.upsert(path, rows((1, "a")), ["k"])
+    os.rename(path, path + store.OLD)
+    os.mkdir(path + store.NEW)
+    assert [r["k"] for r in store.current(spark, path).collect()] == [1]
+    store.upsert(path, rows((2, "b")), ["k"])
+    assert {r["k"] for r in store.current(spark, path).collect()} == {1, 2}
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["store"]
+
+
 def test_stream_upsert(spark, tmp_path):
     source, path = str(tmp_path / "in"), f"file://{tmp_path}/out"
     schema = "k int, content_hash string"
