@@ -107,7 +107,8 @@ def extract(texts: DataFrame, text: str = "text", dates_as_claims: bool = True)
         rows = [list(zip(*found, strict=True)) if (found := find(v, dates_as_claims)) else none for v in values]
         return pd.DataFrame({name: pd.Series([row[k] for row in rows], dtype=object) for k, name in enumerate(CITATION.names)})
 
-    found = spread(texts).withColumn("_found", search(F.coalesce(text, F.lit(""))))
+    # Called nondeterministic, or Spark infers a filter from a later explode and searches every text twice.
+    found = spread(texts).withColumn("_found", search.asNondeterministic()(F.coalesce(text, F.lit(""))))
     zipped = F.arrays_zip(*(F.col(f"_found.{name}") for name in CITATION.names))
     return found.withColumn("citations", zipped).drop("_found")
 

@@ -138,6 +138,11 @@ def test_upserts_on_disk_are_idempotent(spark, tmp_path):
     assert [r["k"] for r in store.recent(spark, f"{path}-log", "year", 2).collect()] == [3, 2]
 
 
+def test_texts_are_searched_once(spark):
+    found = citations.extract(spark.createDataFrame([("Ley 35/2006",)], "text string")).select(F.explode("citations"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_an_upsert_that_died_leaves_the_old_table(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = lambda *xs: spark.createDataFrame(xs, "k long, content_hash string")
