@@ -105,7 +105,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                 rows.append([{"start": a, "length": min(window, n - a), "ids_crc32": zlib.crc32(ids[4 * a : 4 * (a + window)])} for a in range(0, n, window)])
             yield pd.Series(rows, dtype=object)
 
-    whole = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), cut(F.coalesce("text", F.lit(""))).alias("parts"))
+    # Called nondeterministic, or Spark may infer a filter from inline and tokenize every text twice.
+    whole = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), cut.asNondeterministic()(F.coalesce("text", F.lit(""))).alias("parts"))
     total = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"])
     return whole.select("doc_id", "row", total.alias("doc_tokens"), F.inline("parts")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row")
 

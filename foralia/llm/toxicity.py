@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     counts = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     strong = counts.withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
-    around = texts.where("toxic = 1").select(F.inline(pairs("text"))).distinct().groupBy("word").agg(F.count("*").alias("contexts"))
+    around = texts.where("toxic = 1").select(F.inline(pairs.asNondeterministic()("text"))).distinct().groupBy("word").agg(F.count("*").alias("contexts"))
     strong = strong.join(around, "word").where((F.col("contexts") >= MIN_CONTEXTS) & (2 * F.col("contexts") >= F.col("t")))
     best = strong.orderBy(F.desc(F.col("t") * F.col("weight")), "word").limit(max_features).collect()
     words = [r["word"] for r in best]
