@@ -7,6 +7,7 @@ citations are an array, and all that follows is array expressions and equi-joins
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -190,3 +191,22 @@ def ground(answers: DataFrame, contexts: DataFrame, ident: str, text: str = "ans
     joined = found.join(contexts.select(ident, bodies), ident, "left")
     held = F.exists(bodies, lambda b: F.contains(F.lower(b), F.lower(F.col("c.raw"))))
     return joined.select(ident, "place", F.col("c.raw").alias("raw"), F.coalesce(held, F.lit(False)).alias("grounded"))
+
+
+def grounding(issues: DataFrame, ident: str, contexts: DataFrame, rejected: DataFrame | None = None, unsupported: DataFrame | None = None) -> DataFrame:
+    """(ident, verdict, problems) of each answer: the worst of verify's issues and of what its context shows.
+
+    contexts: (ident, chunk_id) of every source an answer was given. A source that the temporal filter had rejected
+    (rejected: chunk_id) blocks; a citation found in no body (ground's rows, not grounded) warns. Problems are codes
+    with the place or chunk they concern, sorted. Answers without any problem are safe.
+    """
+    found = [issues.where("level is not null").select(ident, "level", F.concat_ws(" ", "code", "place").alias("problem"))]
+    if rejected is not None:
+        bad = contexts.join(rejected.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        found.append(bad.select(ident, F.lit("blocking").alias("level"), F.concat(F.lit("REJECTED_SOURCE "), F.col("chunk_id").cast("string")).alias("problem")))
+    if unsupported is not None:
+        found.append(unsupported.where("not grounded").select(ident, F.lit("warning").alias("level"), F.concat_ws(" ", F.lit("NOT_IN_CONTEXT"), "place").alias("problem")))
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    listed = every.groupBy(ident).agg(F.array_sort(F.collect_set("problem")).alias("problems"))
+    out = verdicts(every, ident, contexts.select(ident).unionByName(issues.select(ident))).join(listed, ident, "left")
+    return out.select(ident, "verdict", F.coalesce("problems", F.expr("cast(array() as array<string>)")).alias("problems"))

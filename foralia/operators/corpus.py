@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foralia.operators.doctrine import BINDING_RULING_TIER, court_tier, ruling_weights, tribunal_tier, tribunal_weights
-from foralia.operators.ingest import first_wins
+from foralia.operators.ingest import breakdown, first_wins
 
 HEAD_CHARS = 1500
 
@@ -74,3 +74,20 @@ def index_chunks(existing: DataFrame, incoming: DataFrame, dim: int) -> DataFram
 
 def delete_chunks(existing: DataFrame, idents: DataFrame) -> DataFrame:
     return existing.join(idents.select("chunk_id").distinct(), "chunk_id", "left_anti")
+
+
+# Fixed value: the name space of URLs for name-based UUIDs (RFC 9562).
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def point_id(ident: Column) -> Column:
+    """The name-based UUID (version 5) of a chunk's id: the id that vector stores take."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_SPACE)), F.encode(ident, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    cut = lambda a, n: F.substring(h, a, n)
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("5"), cut(14, 3)), F.concat(variant, cut(18, 3)), cut(21, 12))
+
+
+def count_by_source(chunks: DataFrame, families: list[str]) -> DataFrame:
+    """(source_type, n), zero for a family without chunks."""
+    return breakdown(chunks, "source_type", families)

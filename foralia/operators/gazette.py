@@ -80,3 +80,14 @@ def verify_seeds(pinned: DataFrame, versions: DataFrame) -> DataFrame:
     last = known.groupBy("boe_id", "article_id").agg(F.max_by("text_hash", "effective_from").alias("last_hash"))
     found = F.coalesce("version.text_hash", "last_hash")
     return live.join(last, ["boe_id", "article_id"], "left").withColumn("found_hash", found).withColumn("ok", F.coalesce(found == F.col("content_hash"), F.lit(False))).drop("version", "last_hash")
+
+
+def parse_summaries(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(items, refused rows) of summaries as text: those that start with { are JSON, with < XML; others are refused, and so is broken JSON."""
+    from foralia.operators.ingest import flatten_gazette
+
+    start = F.left(F.ltrim(F.regexp_replace(column, r"^\s+", "")), F.lit(1))
+    parsed = F.try_parse_json(column)
+    is_json, is_xml = F.coalesce((start == "{") & parsed.isNotNull(), F.lit(False)), F.coalesce(start == "<", F.lit(False))
+    as_json = flatten_gazette(payloads.where(is_json).withColumn(column, parsed), column)
+    return as_json.unionByName(flatten_xml(payloads.where(is_xml), column).withColumn("fecha", F.col("fecha").cast("string"))), payloads.where(~is_json & ~is_xml)

@@ -28,6 +28,15 @@ def version_text(version: Column) -> Column:
     return decode_entities(F.array_join(F.filter(plain, lambda p: p != ""), "\n"))
 
 
+def version_at(body: Column, day: Column) -> Column:
+    """A block's <version> in force on `day`, the one with the latest start if several are; null if none is."""
+    tag = lambda v: F.regexp_extract(v, r"^<version\b[^>]*>", 0)
+    target = F.date_format(day, "yyyyMMdd")
+    dated = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)<version\b[^>]*>.*?</version>"), F.lit(0)), lambda v: F.struct(_attribute(tag(v), "fecha_vigencia").alias("start"), _attribute(tag(v), "fecha_vigencia_fin").alias("end"), v.alias("v")))
+    live = F.filter(dated, lambda x: (x["start"] <= target) & (x["end"].isNull() | (x["end"] >= target)))
+    return F.aggregate(live, F.lit(None).cast("struct<start:string,end:string,v:string>"), lambda best, x: F.when(best["start"].isNull() | (x["start"] > best["start"]), x).otherwise(best), lambda best: best["v"])
+
+
 def article_versions(texts: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
     """The full timeline: (keys, article_id, effective_from, effective_to, text, text_hash, modified_by).
 

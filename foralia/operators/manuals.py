@@ -61,3 +61,11 @@ def references(text: Column) -> Column:
     """References to laws in a text, white space collapsed, each once."""
     pattern = r"(?iu)\b(?:Ley|Ley\s+Orgánica|Real\s+Decreto(?:\s+Legislativo|-ley)?|Orden)\s+\d+/\d{2,4}"
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", " ")))
+
+
+def merged_references(declared: Column, body: Column) -> Column:
+    """Declared references, then those found in the body; each once, case and white space aside."""
+    from foralia.functions.text import collapse, dedupe_by
+
+    every = F.filter(F.concat(F.coalesce(declared, F.expr("cast(array() as array<string>)")), references(F.coalesce(body, F.lit("")))), lambda x: F.trim(x) != "")
+    return dedupe_by(F.transform(every, lambda x: F.trim(x)), lambda x: F.lower(collapse(x)))

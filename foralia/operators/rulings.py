@@ -13,8 +13,8 @@ TAX_OFFICE_LABELS = {
     "fecha salida": "fecha_salida", "fecha de salida": "fecha_salida", "fecha entrada": "fecha_entrada", "fecha de entrada": "fecha_entrada",
     "normativa": "normativa", "materia": "materia", "asunto": "asunto", "cuestion": "cuestion",
 }
-COURT_LABELS = {"ecli": "ecli", "organo": "organo", "sala": "sala", "seccion": "seccion", "fecha": "fecha", "ponente": "ponente", "numero de resolucion": "numero", "numero de recurso": "recurso", "resumen": "resumen"}
-TRIBUNAL_LABELS = {"criterio": "criterio", "numero de resolucion": "numero", "numero": "numero", "unidad resolutoria": "unidad", "fecha": "fecha", "fecha de resolucion": "fecha", "asunto": "asunto", "materia": "materia", "normativa": "normativa", "impuesto": "impuesto"}
+COURT_LABELS = {"materia": "materia", "ecli": "ecli", "organo": "organo", "sala": "sala", "seccion": "seccion", "fecha": "fecha", "ponente": "ponente", "numero de resolucion": "numero", "numero de recurso": "recurso", "resumen": "resumen"}
+TRIBUNAL_LABELS = {"organo": "organo", "sala": "sala", "sede": "sede", "criterio": "criterio", "numero de resolucion": "numero", "numero": "numero", "unidad resolutoria": "unidad", "fecha": "fecha", "fecha de resolucion": "fecha", "asunto": "asunto", "materia": "materia", "normativa": "normativa", "impuesto": "impuesto"}
 # Headings that start sections.
 TAX_OFFICE_SECTIONS = {"hechos": r"Descripci[óo]n\s+(?:de\s+)?(?:los\s+)?hechos\b", "cuestion": r"Cuesti[óo]n\s+planteada\b", "contestacion": r"Contestaci[óo]n\s+(?:completa|vinculante)?\b"}
 COURT_SECTIONS = {"antecedentes": r"Antecedentes\s+de\s+hecho\b", "fundamentos": r"Fundamentos\s+(?:de|jur[íi]dicos)\b", "fallo": r"Fallo\b|Parte\s+dispositiva\b"}
@@ -39,6 +39,21 @@ CONCLUSIONS = r"(?iu)\besta\s+Direcci[óo]n\s+General\s+(?:considera|entiende|in
 OUTCOMES = (("estima_parcial", r"(?iu)\bestima(?:mos|r)?\s+(?:en\s+parte|parcialmente)|\bestimaci[óo]n\s+parcial"), ("desestima", r"(?iu)\bdesestim"), ("inadmite", r"(?iu)\binadmi"), ("estima", r"(?iu)\bestim"), ("archivo", r"(?iu)\barchiv"))
 
 
+# Matters that are about taxes, tax phrases and acronyms in a ruling's text, all folded.
+TAX_MATTERS = (
+    "tributari", "fiscal", "impuesto", "irpf", "impuesto sobre la renta", "iva", "impuesto sobre el valor anadido", "impuesto sobre sociedades", "impuesto sobre el patrimonio",
+    "sucesiones", "donaciones", "transmisiones patrimoniales", "actos juridicos documentados", "hacienda publica", "haciendas locales", "aeat", "tasa fiscal", "ibi", "iibtnu",
+    "plusvalia", "recaudacion", "inspeccion tributaria", "infraccion tributaria", "sancion tributaria",
+)
+TAX_BODY = (
+    "impuesto sobre la renta de las personas fisicas", "impuesto sobre sociedades", "impuesto sobre el valor anadido", "impuesto sobre el patrimonio", "ley general tributaria",
+    "agencia estatal de administracion tributaria", "direccion general de tributos", "tribunal economico administrativo", "obligacion tributaria", "deuda tributaria",
+    "liquidacion tributaria", "comprobacion limitada", "regularizacion tributaria", "infraccion tributaria", "sancion tributaria", "rendimientos del trabajo",
+    "rendimientos de actividades economicas", "ganancia patrimonial", "minimo personal y familiar",
+)
+TAX_ACRONYMS = ("irpf", "iva", "isd", "iibtnu", "ibi", "ivtm", "icio", "iae", "irnr", "aeat", "lgt")
+
+
 def _ladder(text: Column, tests, hit) -> Column:
     out = F.lit(None).cast("string")
     for name, values in reversed(tests):
@@ -85,6 +100,42 @@ def _get(c: str, key: str) -> Column:
     return F.try_element_at(F.col(c), F.lit(key))
 
 
+def _listed(values) -> Column:
+    return F.array(*(F.lit(v) for v in values))
+
+
+def classify(header: Column, plain: Column) -> Column:
+    """struct<relevance, keywords> of a court ruling: `fiscal` by its matter or the tax section of the chamber, `probable` by tax
+    phrases and acronyms of its text, else `no_fiscal`; keywords are those that decided, in the lists' order."""
+    field = lambda name: tx.normalize(F.coalesce(F.try_element_at(header, F.lit(name)), F.lit("")))
+    named = lambda text, words: F.filter(_listed(words), lambda w: F.contains(text, w))
+    chamber = F.coalesce(F.nullif(field("sala"), F.lit("")), field("organo"))
+    tax_section = (F.contains(chamber, F.lit("tercera")) | F.contains(chamber, F.lit("contencioso"))) & F.contains(field("seccion"), F.lit("segunda"))
+    acronyms = lambda body: F.array_intersect(_listed(TAX_ACRONYMS), F.regexp_extract_all(body, F.lit(r"(?U)\b(?:" + "|".join(TAX_ACRONYMS) + r")\b"), F.lit(0)))
+    words = tx.once(tx.normalize(F.coalesce(plain, F.lit(""))), lambda body: F.concat(named(body, TAX_BODY), acronyms(body)))
+    none, as_struct = F.expr("cast(array() as array<string>)"), lambda name, keys: F.struct(F.lit(name).alias("relevance"), keys.alias("keywords"))
+    by_text = tx.once(words, lambda w: F.when(F.size(w) > 0, as_struct("probable", w)).otherwise(as_struct("no_fiscal", none)))
+    return tx.once(named(field("materia"), TAX_MATTERS), lambda m: F.when(F.size(m) > 0, as_struct("fiscal", m)).when(tax_section, as_struct("fiscal", none)).otherwise(by_text))
+
+
+def court_organ(code: Column) -> Column:
+    """TC, TSJ, TS, AN or AP of a court's code; null for a code of no known court."""
+    c = F.upper(F.trim(code))
+    return F.when(c.rlike(r"^TC\d*$"), "TC").when(c.startswith("TSJ"), "TSJ").when(c.startswith("TS"), "TS").when(c == "AN", "AN").when(c.startswith("AP"), "AP")
+
+
+def tribunal_organ(header: Column, number: Column) -> Column:
+    """teac, teal or tear by the organ that the header names, else by the number: 00 is the central tribunal's."""
+    named = F.lower(F.coalesce(*(F.nullif(F.try_element_at(header, F.lit(k)), F.lit("")) for k in ("organo", "unidad", "sala")), F.lit("")))
+    known = F.when(F.contains(named, F.lit("central")), "teac").when(F.contains(named, F.lit("local")), "teal").when(F.contains(named, F.lit("regional")), "tear")
+    return F.coalesce(known, F.when(F.left(number, F.lit(2)) == "00", "teac").otherwise("tear"))
+
+
+def verdict_part(plain: Column) -> Column:
+    """From the first FALLO (letters may be spaced), else FALLAMOS, else PARTE DISPOSITIVA to the end; null without any."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(plain, rf"(?isU)({p}\b.+)\z", 1), F.lit("")) for p in (r"F\s*A\s*L\s*L\s*O", "FALLAMOS", r"PARTE\s+DISPOSITIVA")))
+
+
 def tax_office(raw: DataFrame) -> DataFrame:
     """Binding rulings, one row each with `outcome`: ok, or why it is refused; nothing is thrown."""
     p = parse(raw, TAX_OFFICE_LABELS, TAX_OFFICE_SECTIONS)
@@ -103,7 +154,7 @@ def court(raw: DataFrame) -> DataFrame:
     """Court rulings with outcome of the verdict and the reasoning's key paragraph."""
     p = parse(raw, COURT_LABELS, COURT_SECTIONS)
     ident, day = ids.ecli(_get("header", "ecli")), ids.written_date(_get("header", "fecha"))
-    verdict = F.coalesce(_get("sections", "fallo"), F.col("plain"))
+    verdict = F.coalesce(_get("sections", "fallo"), verdict_part(F.col("plain")), F.col("plain"))
     reasons = tx.paragraphs(F.coalesce(_get("sections", "fundamentos"), F.col("plain")))
     markers = [r"(?iu)\bdoctrina\b", r"(?iu)\bcriterio\b", r"(?iu)\bfijamos\b|\bdeclaramos\b", r"(?iu)\ben\s+consecuencia\b"]
     key = F.coalesce(tx.first_by_marker(reasons, markers), F.try_element_at(F.filter(reasons, lambda x: F.length(x) > 50), F.lit(-1)))
@@ -121,7 +172,7 @@ def tribunal(raw: DataFrame) -> DataFrame:
     kinds = [("unifica_criterio", (r"(?iu)unificaci[óo]n\s+de\s+criterio|unifica\s+criterio",)), ("extiende_efectos", (r"(?iu)extensi[óo]n\s+de\s+efectos|extiende\s+efectos",)), ("procedimiento_especial", (r"(?iu)procedimiento\s+especial",))]
     head, match = F.left("plain", F.lit(1500)), lambda t, v: t.rlike(v)
     kind = F.coalesce(_ladder(head, kinds, match), _ladder(F.col("plain"), kinds, match), F.lit("ordinaria"))
-    organ = F.when(F.left(number, F.lit(2)) == "00", "teac").otherwise("tear")
+    organ = tribunal_organ(F.col("header"), number)
     why = F.when(number.isNull(), "no_number").when(day.isNull(), "no_date").otherwise("ok")
     return p.select(
         *raw.columns, number.alias("numero"), organ.alias("organo"), day.alias("fecha"), kind.alias("tipo"), F.coalesce(outcome(F.col("plain"), 2000, True), F.lit("otro")).alias("sentido"),

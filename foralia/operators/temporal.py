@@ -57,3 +57,29 @@ def temporal_filter(chunks: DataFrame, day: Column, mode: str = "strict", start:
         reason = F.lit(None).cast("string")
     bad = F.lit("rejected" if mode == "strict" else "disclaimer")
     return chunks.withColumn("reason", reason).withColumn("verdict", F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(bad))
+
+
+def required_day(queries: DataFrame, day: str = "devengo_date", mode: str = "strict", today: Column | None = None) -> DataFrame:
+    """`queries` with `day` filled in and `explicit`, whether it was stated.
+
+    strict: a query without a day is an error when its row is read; warn and off: it takes `today`, by default the current date.
+    """
+    if mode not in ("strict", "warn", "off"):
+        raise ValueError(f"unknown mode {mode}")
+    missing = F.raise_error(F.lit(f"{day} is required in strict mode")).cast("date") if mode == "strict" else F.coalesce(today, F.current_date()) if today is not None else F.current_date()
+    return queries.withColumn("explicit", F.col(day).isNotNull()).withColumn(day, F.coalesce(F.col(day), missing))
+
+
+def filter_warnings(verdicts: DataFrame, by: list[str], ident: str = "chunk_id", shown: int = 5) -> DataFrame:
+    """(by, n, shown) of what temporal_filter kept with a disclaimer: how many, and the `shown` smallest ids."""
+    kept = verdicts.where("verdict = 'disclaimer'").groupBy(by)
+    few = F.slice(F.array_sort(F.collect_set(ident)), 1, shown)
+    return kept.agg(F.count_distinct(ident).alias("n"), few.alias("shown"))
+
+
+def applicable_versions(rules: DataFrame, versions: DataFrame, day: str, ident: str = "id", sources: str = "sources") -> DataFrame:
+    """(ident, boe_id, version) of each norm that a rule's sources name, once, where a version is in force on `day`, in order of first mention (`place`)."""
+    cited = rules.select(ident, day, F.posexplode(F.transform(sources, lambda s: s["boe_id"])).alias("place", "boe_id")).where("boe_id is not null")
+    cited = cited.groupBy(ident, day, "boe_id").agg(F.min("place").alias("place"))
+    live = as_of_join(cited, versions.withColumnRenamed("norma_boe_id", "boe_id"), ["boe_id"], day)
+    return live.where("version is not null").select(ident, "place", "boe_id", "version")

@@ -1,8 +1,8 @@
 """Registered queries: each module states its queries and their DuckDB equivalents."""
 
-from foralia.plans import law, retrieval, tax
+from foralia.plans import grounded, law, retrieval, tax
 
-MODULES = (tax, retrieval, law)
+MODULES = (tax, retrieval, law, grounded)
 
 
 def queries() -> dict:

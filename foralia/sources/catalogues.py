@@ -82,3 +82,24 @@ def load_normas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if lost or clash:
         raise ValueError(f"versions of an unknown norm: {lost}; overlapping versions: {clash}")
     return norms, versions
+
+
+# The members of a ruling's file, and the one that names it, by family.
+RULINGS = {
+    "sentencia": ("ecli", "ecli string, organo string, tribunal_codigo string, sala string, seccion string, fecha date, numero_resolucion string, fallo_sentido string, fallo_texto string, ratio_decidendi string, resumen string, content_hash string"),
+    "consulta_dgt": ("numero", "numero string, organo string, fecha_salida date, impuesto string, asunto string, cuestion_planteada string, contestacion_completa string, criterio string, normativa array<string>, content_hash string"),
+    "resolucion_teac": ("numero", "numero string, organo string, sede string, fecha date, tipo string, impuesto string, asunto string, criterio string, sentido string, normativa array<string>, content_hash string"),
+}
+
+
+def load_rulings(spark: SparkSession, path: str, family: str) -> tuple[DataFrame, DataFrame]:
+    """(rulings, refused rows) of one family: every JSON file under `path` is one ruling; files that hold no object are skipped.
+
+    Refused: without its name, or broken JSON. Two files with one name are an error.
+    """
+    key, schema = RULINGS[family]
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    rows = raw.where(F.col("v").isNull() | F.schema_of_variant("v").startswith("OBJECT")).select("file", F.from_json(F.to_json("v"), schema).alias("r")).select("file", "r.*")
+    good, bad = quarantine(rows, {f"no {key}": F.coalesce(F.trim(key), F.lit("")) == ""})
+    return require_unique(good, [key]), bad

@@ -25,16 +25,23 @@ def upsert(path: str, incoming: DataFrame, keys: list[str], digest: str = "conte
     incoming = materialize(incoming, "incoming")
     before = spark.read.parquet(path) if exists(spark, path) else incoming.limit(0)
     counts = materialize(classify_upsert(before, incoming, keys, digest).groupBy("outcome").count().withColumnRenamed("count", "n"), "outcomes")
-    after = materialize(idempotent_upsert(before, incoming, keys, digest, overwrite=overwrite), "upserted")
+    replace(path, idempotent_upsert(before, incoming, keys, digest, overwrite=overwrite), partition_by)
+    drop_scratch(incoming)
+    return counts
+
+
+def replace(path: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
+    """`rows`, which may be read from the table itself, take the place of the table at `path` by renaming."""
+    spark = rows.sparkSession
+    recover(spark, path)
+    after = materialize(rows, "replaced")
     writer = after.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path + NEW)
     if exists(spark, path):
         _rename(spark, path, path + OLD)
     _rename(spark, path + NEW, path)
     _delete(spark, path + OLD)
-    drop_scratch(incoming)
     drop_scratch(after)
-    return counts
 
 
 NEW, OLD = "__new", "__old"
