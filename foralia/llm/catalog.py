@@ -1,6 +1,19 @@
 """The registered queries of this subpackage and their DuckDB equivalents."""
 
-from foralia.llm import html_text, language_model, line_dedup, media, mixing, packing, quality, simhash, suffix_dedup, toxicity
+from foralia.llm import (
+    html_text,
+    importance,
+    language_model,
+    line_dedup,
+    media,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,9 +26,12 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
+    "op12_importance": importance.op12_importance,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op12_importance": importance.ORACLE,
 }
