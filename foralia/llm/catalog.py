@@ -9,6 +9,7 @@ from foralia.llm import (
     mixing,
     packing,
     quality,
+    ranked_search,
     simhash,
     suffix_dedup,
     token_files,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_importance": importance.op12_importance,
     "op13_token_files": token_files.op13_token_files,
 }
@@ -33,5 +35,6 @@ QUERIES = {
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
     "op12_importance": importance.ORACLE,
 }
