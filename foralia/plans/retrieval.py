@@ -48,28 +48,30 @@ def _vectors(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
-def _first_vector(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.lit(1).alias("query_id"), "embedding")
+def _asked_vectors(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "chunk_id", round_half_up(F.col("score"), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 vectors nearest to the first one."""
-    found = retrieval.dense(_vectors(spark, sf_dir), _first_vector(spark, sf_dir))
-    return found.select("chunk_id", round_half_up(F.col("score"), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """The 50 vectors nearest to each one whose id is divisible by 20."""
+    return _ranked(retrieval.dense(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir)))
 
 
 def filter_then_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same among three labels, with a least score."""
-    found = retrieval.dense(_vectors(spark, sf_dir).where(F.col("label").isin(1, 3, 5)), _first_vector(spark, sf_dir), 20, 0.05)
-    return found.select("chunk_id", round_half_up(F.col("score"), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """The 20 nearest among three labels, with a least score, for the same queries."""
+    return _ranked(retrieval.dense(_vectors(spark, sf_dir).where(F.col("label").isin(1, 3, 5)), _asked_vectors(spark, sf_dir), 20, 0.05))
 
 
 def _dense_sql(where: str, k: int, least: float) -> str:
     return f"""
-WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
-x AS (SELECT vec_id AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.q) AS score FROM embeddings CROSS JOIN q {where}),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM x WHERE score >= {least})
-SELECT chunk_id, floor(score * 1000000 + 0.5) / 1000000 AS score, rank FROM r WHERE rank <= {k}
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0),
+x AS (SELECT q.query_id, vec_id AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.q) AS score FROM embeddings CROSS JOIN q {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM x WHERE score >= {least})
+SELECT query_id, chunk_id, floor(score * 1000000 + 0.5) / 1000000 AS score, rank FROM r WHERE rank <= {k}
 """
 
 
