@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from foralia.functions import text as tx
 from foralia.functions.scales import round_half_up
-from foralia.operators import calendar, chunking, citations, doctrine, drift, ingest, retrieval, vat
-from foralia.runtime import table
+from foralia.operators import calendar, chunking, citations, doctrine, drift, ingest, posting_index, retrieval, vat
+from foralia.runtime import scratch_dir, table
 
 QUERY = "the thing and eaner de la the"
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -24,23 +25,36 @@ def _query(spark) -> DataFrame:
     return spark.createDataFrame([(1, QUERY)], "query_id int, text string")
 
 
+def _asked(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 best documents for a fixed query."""
-    found = retrieval.bm25(_chunks(spark, sf_dir), _query(spark))
-    return found.select("chunk_id", round_half_up(F.col("score"), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """The 50 best documents for each document whose id is divisible by 20, through an index that was built in two batches."""
+    index = posting_index.PostingIndex(spark, f"{scratch_dir(spark)}/postings-{uuid.uuid4().hex}", "long")
+    docs = _chunks(spark, sf_dir)
+    index.add(docs.where("chunk_id % 2 = 0"), "even")
+    index.add(docs.where("chunk_id % 2 = 1"), "odd")
+    return _ranked(index.search(_asked(spark, sf_dir), 50))
+
 
+def bm25_every_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for a fixed query, by the plan that scores every document that holds one of its tokens."""
+    return _ranked(retrieval.bm25(_chunks(spark, sf_dir), _query(spark)))
 
-BM25_SQL = f"""
-WITH q AS (SELECT token, count(*) AS times FROM (SELECT unnest({TOKENS.replace('text', f"'{QUERY}'")}) AS token) GROUP BY 1),
+
+def _bm25_sql(asked: str) -> str:
+    return f"""
+WITH q AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({TOKENS}) AS token FROM ({asked})) GROUP BY 1, 2),
 d AS (SELECT doc_id, {TOKENS} AS tokens FROM documents),
 n AS (SELECT count(*)::DOUBLE AS n, avg(len(tokens)) AS a FROM d),
 w AS (SELECT doc_id, len(tokens)::DOUBLE AS l, unnest(tokens) AS token FROM d),
 c AS (SELECT doc_id, l, token, count(*)::DOUBLE AS f FROM w WHERE token IN (SELECT token FROM q) GROUP BY 1, 2, 3),
 s AS (SELECT token, count(*)::DOUBLE AS df FROM c GROUP BY 1),
-x AS (SELECT c.doc_id AS chunk_id, sum(q.times * ln((n.n - s.df + 0.5) / (s.df + 0.5) + 1) * c.f * 2.5 / (c.f + 1.5 * (1 - 0.75 + 0.75 * c.l / n.a))) AS score
-  FROM c JOIN q ON q.token = c.token JOIN s ON s.token = c.token CROSS JOIN n GROUP BY 1),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM x)
-SELECT chunk_id, floor(score * 1000000 + 0.5) / 1000000 AS score, rank FROM r WHERE rank <= 50
+x AS (SELECT q.query_id, c.doc_id AS chunk_id, sum(CAST(floor(1e12::DOUBLE * (q.times * ln((n.n - s.df + 0.5) / (s.df + 0.5) + 1) * c.f * 2.5 / (c.f + 1.5 * (1 - 0.75 + 0.75 * c.l / n.a)))) AS BIGINT))::DOUBLE / 1e12 AS score
+  FROM c JOIN q ON q.token = c.token JOIN s ON s.token = c.token CROSS JOIN n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM x WHERE score > 0)
+SELECT query_id, chunk_id, floor(score * 1000000 + 0.5) / 1000000 AS score, rank FROM r WHERE rank <= 50
 """
 
 
@@ -443,7 +457,8 @@ SELECT sha256(concat_ws('-', count(*)::VARCHAR, {_SUMS})) AS fingerprint FROM h
 """
 
 QUERIES = {
-    "bm25_topk": (bm25_topk, BM25_SQL),
+    "bm25_topk": (bm25_topk, _bm25_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 20 = 0")),
+    "bm25_every_score": (bm25_every_score, _bm25_sql(f"SELECT 1 AS query_id, '{QUERY}' AS text")),
     "dense_topk": (dense_topk, _dense_sql("", 50, 0.0)),
     "filter_then_topk": (filter_then_topk, _dense_sql("WHERE label IN (1, 3, 5)", 20, 0.05)),
     "rrf_hybrid": (rrf_hybrid, RRF_SQL),
