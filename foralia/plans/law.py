@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foralia.functions import ids
 from foralia.functions import text as tx
 from foralia.functions.scales import round_half_up
-from foralia.operators import catalog, chunking, corpus, gazette, legal_xml, manuals, quota, temporal, vat
+from foralia.operators import asof_merge, catalog, chunking, corpus, gazette, legal_xml, manual_tree, manuals, quota, temporal, vat
 from foralia.runtime import table
 
 
@@ -178,6 +178,66 @@ SUBJECT_SQL = """
 SELECT array_to_string(list_slice(regexp_extract_all(lower(text), '[a-záéíóúñ0-9]+'), 1, 12), ' ') AS subject, count(*) AS n FROM documents GROUP BY 1
 """
 
+def _pages(spark, sf_dir: str) -> DataFrame:
+    """Parts as pages of ten manuals: chapters, headings of two and three numbers, and pages without a heading."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    number = lambda *parts: F.concat_ws(".", *((key % n + 1).cast("string") for n in parts))
+    chapter = F.concat(F.lit("Capítulo "), (key % 97 + 1).cast("string"), F.lit(". "), F.upper("p_name"), F.lit("\n"))
+    heading = lambda n: F.concat(n, F.lit(". T"), name, F.lit("\n"))
+    head = F.when(key % 50 < 10, chapter).when(key % 3 == 0, heading(number(7, 5))).when(key % 3 == 1, heading(number(7, 5, 11))).otherwise("")
+    return table(spark, sf_dir, "part").select((key % 10).alias("manual"), key.alias("page_number"), F.concat(head, "p_type").alias("text"))
+
+
+def manual_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of ten manuals: headings, pages, ancestors and the hash of each body."""
+    found = manual_tree.leaves(manual_tree.elements(_pages(spark, sf_dir), ["manual"]), ["manual"])
+    return found.select(
+        "manual", F.col("leaf").cast("long").alias("leaf"), "start", "kind", "numbering", "title", "page_start", F.sha2("body", 256).alias("body_hash"),
+        F.col("capitulo.numbering").alias("chapter"), F.col("seccion.numbering").alias("section"),
+    )
+
+
+MANUAL_LEAVES_SQL = """
+WITH p AS (SELECT p_partkey % 10 AS manual, p_partkey AS page, p_type AS rest,
+  CASE WHEN p_partkey % 50 < 10 THEN 1 WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 3 = 1 THEN 3 ELSE 0 END AS rank,
+  CASE WHEN p_partkey % 50 < 10 THEN (p_partkey % 97 + 1)::VARCHAR WHEN p_partkey % 3 = 0 THEN (p_partkey % 7 + 1) || '.' || (p_partkey % 5 + 1)
+       WHEN p_partkey % 3 = 1 THEN (p_partkey % 7 + 1) || '.' || (p_partkey % 5 + 1) || '.' || (p_partkey % 11 + 1) END AS num,
+  CASE WHEN p_partkey % 50 < 10 THEN upper(p_name) ELSE 'T' || p_name END AS title FROM part),
+t AS (SELECT *, CASE WHEN rank = 1 THEN 'Capítulo ' ELSE '' END AS lead_text, CASE WHEN rank = 0 THEN rest ELSE num || '. ' || title || chr(10) || rest END AS tail FROM p),
+o AS (SELECT *, coalesce(sum(length(lead_text) + length(tail) + 2) OVER (PARTITION BY manual ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page_start,
+  sum((rank > 0)::INT) OVER (PARTITION BY manual ORDER BY page) AS sec FROM t),
+q AS (SELECT manual, sec, page, substr(tail, length(title) + 1) AS piece FROM o WHERE rank > 0
+  UNION ALL SELECT manual, sec - (rank > 0)::INT, page, CASE WHEN rank = 0 THEN tail ELSE lead_text END FROM o),
+b AS (SELECT manual, sec, trim(string_agg(piece, chr(10) || chr(10) ORDER BY page), chr(10) || ' ') AS body FROM q WHERE sec > 0 GROUP BY 1, 2),
+e AS (SELECT o.*, b.body, (page_start + length(lead_text))::BIGINT AS start, lead(rank) OVER w > rank AS parent,
+  max(CASE WHEN rank = 1 THEN sec END) OVER before AS c_sec, max(CASE WHEN rank = 2 THEN sec END) OVER before AS s_sec FROM o JOIN b USING (manual, sec) WHERE rank > 0
+  WINDOW w AS (PARTITION BY manual ORDER BY sec), before AS (PARTITION BY manual ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT e.manual, row_number() OVER (PARTITION BY e.manual ORDER BY e.sec) - 1 AS leaf, e.start, CASE e.rank WHEN 1 THEN 'capitulo' WHEN 2 THEN 'seccion' ELSE 'subseccion' END AS kind,
+  e.num AS numbering, e.title || CASE WHEN e.parent THEN ' (preámbulo)' ELSE '' END AS title, e.page AS page_start, sha256(e.body) AS body_hash,
+  CASE WHEN e.rank > 1 THEN c.num END AS chapter, CASE WHEN e.rank > 2 AND (e.c_sec IS NULL OR e.s_sec > e.c_sec) THEN s.num END AS section
+FROM e LEFT JOIN e c ON c.manual = e.manual AND c.sec = e.c_sec LEFT JOIN e s ON s.manual = e.manual AND s.sec = e.s_sec
+WHERE coalesce(e.parent, false) = false OR e.body <> ''
+"""
+
+
+def asof_merge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the shipping day in force on their date, for three keys whose timelines hold all days: each lasts two days at most."""
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 3).alias("key"), F.col("l_shipdate").cast("date").alias("effective_from"), "l_orderkey").where("pmod(datediff(effective_from, date'1990-01-01'), 5) <> 0")
+    versions = items.groupBy("key", "effective_from").agg(F.min("l_orderkey").alias("first_order"))
+    following = F.lead("effective_from").over(Window.partitionBy("key").orderBy("effective_from"))
+    versions = versions.withColumn("effective_to", F.least(F.date_add("effective_from", 1), F.date_sub(following, 1)))
+    facts = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("key"), F.col("o_orderdate").cast("date").alias("day"))
+    hit = asof_merge.as_of_merge(facts, versions, ["key"], "day")
+    return hit.select("o_orderkey", "key", F.col("version.effective_from").cast("string").alias("effective_from"), "version.first_order")
+
+
+ASOF_MERGE_SQL = """
+WITH i AS (SELECT l_partkey % 3 AS key, CAST(l_shipdate AS DATE) AS a, min(l_orderkey) AS first_order FROM lineitem WHERE datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) % 5 <> 0 GROUP BY 1, 2),
+v AS (SELECT *, least(CAST(a + 1 AS DATE), CAST(lead(a) OVER (PARTITION BY key ORDER BY a) - 1 AS DATE)) AS b FROM i)
+SELECT o.o_orderkey, o.o_custkey % 4 AS key, CAST(v.a AS VARCHAR) AS effective_from, v.first_order
+FROM orders o LEFT JOIN v ON v.key = o.o_custkey % 4 AND CAST(o.o_orderdate AS DATE) BETWEEN v.a AND coalesce(v.b, DATE '9999-12-31')
+"""
+
 QUERIES = {
     "temporal_filter": (temporal_filter, TEMPORAL_SQL),
     "canonical_ids": (canonical_ids, IDS_SQL),
@@ -190,5 +250,7 @@ QUERIES = {
     "drift_eligibility": (drift_eligibility, ELIGIBLE_SQL),
     "corpus_families": (corpus_families, FAMILIES_SQL),
     "manual_pages": (manual_pages, PAGES_SQL),
+    "manual_leaves": (manual_leaves, MANUAL_LEAVES_SQL),
+    "asof_merge": (asof_merge_join, ASOF_MERGE_SQL),
     "subject_keys": (subject_keys, SUBJECT_SQL),
 }
