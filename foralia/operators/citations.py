@@ -185,28 +185,56 @@ def verdicts(issues: DataFrame, ident: str, texts: DataFrame) -> DataFrame:
     return texts.select(ident).distinct().join(worst, ident, "left").select(ident, named.alias("verdict"))
 
 
-def ground(answers: DataFrame, contexts: DataFrame, ident: str, text: str = "answer", bodies: str = "bodies") -> DataFrame:
-    """(ident, place, raw, grounded): whether each citation of an answer stands in one of its context's bodies, case aside."""
-    found = extract(answers.select(ident, F.col(text).alias("text"))).select(ident, F.posexplode("citations").alias("place", "c"))
-    joined = found.join(contexts.select(ident, bodies), ident, "left")
-    held = F.exists(bodies, lambda b: F.contains(F.lower(b), F.lower(F.col("c.raw"))))
+def ground(answers: DataFrame, contexts: DataFrame, ident: str, text: str = "answer", bodies: str = "bodies", metadata: str | None = None) -> DataFrame:
+    """(ident, place, raw, grounded): whether each citation of an answer stands in one of its context's sources, case aside.
+
+    A citation stands there as it is written or by the gazette id it resolves to, in a body or in a source's metadata lines.
+    contexts: one row an answer with arrays of texts; null entries hold nothing. An answer without a context grounds nothing.
+    """
+    found = associate(extract(answers.select(ident, F.col(text).alias("text")))).select(ident, F.posexplode("citations").alias("place", "c"))
+    given = F.col(bodies) if metadata is None else F.concat(F.coalesce(bodies, F.array()), F.coalesce(metadata, F.array()))
+    joined = found.join(contexts.select(ident, F.transform(given, lambda b: F.lower(b)).alias("_given")), ident, "left")
+    needle = lambda x: F.nullif(F.lower(F.trim(x)), F.lit(""))
+    raw, norm = needle(F.col("c.raw")), needle(F.col("c.boe_id"))
+    held = F.exists("_given", lambda b: F.coalesce(F.contains(b, raw), F.lit(False)) | F.coalesce(F.contains(b, norm), F.lit(False)))
     return joined.select(ident, "place", F.col("c.raw").alias("raw"), F.coalesce(held, F.lit(False)).alias("grounded"))
 
 
-def grounding(issues: DataFrame, ident: str, contexts: DataFrame, rejected: DataFrame | None = None, unsupported: DataFrame | None = None) -> DataFrame:
-    """(ident, verdict, problems) of each answer: the worst of verify's issues and of what its context shows.
+# Fixed value: how an answer refers to the sources it was given.
+SOURCE_REFERENCE = r"(?i)\[FUENTE\s+(\d{1,3})\]"
+
+
+def source_references(answers: DataFrame, contexts: DataFrame, ident: str, text: str = "answer", index: str = "index") -> DataFrame:
+    """(ident, number, given): each source number an answer refers to, once, and whether it was given a source of that number.
+
+    contexts: (ident, index), one row for each source that an answer was given.
+    """
+    numbers = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(SOURCE_REFERENCE), F.lit(1)), lambda n: n.cast("int")))
+    asked = answers.select(ident, F.explode(numbers).alias("number")).distinct()
+    known = contexts.select(ident, F.col(index).cast("int").alias("number")).distinct().withColumn("_given", F.lit(True))
+    return asked.join(known, [ident, "number"], "left").select(ident, "number", F.coalesce("_given", F.lit(False)).alias("given"))
+
+
+def grounding(issues: DataFrame, ident: str, contexts: DataFrame, grounded: DataFrame, rejected: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """(ident, verdict, problems) of each answer, by what its context shows.
 
-    contexts: (ident, chunk_id) of every source an answer was given. A source that the temporal filter had rejected
-    (rejected: chunk_id) blocks; a citation found in no body (ground's rows, not grounded) warns. Problems are codes
-    with the place or chunk they concern, sorted. Answers without any problem are safe.
+    grounded: ground's rows. A citation that stands in no source warns, or blocks where verify blocks it (issues: ident, place,
+    raw, level; of several issues of one wording the last counts); a citation that stands in a source is no problem whatever
+    verify says. A reference to a source that was not given (references: source_references' rows) blocks, and so does a source
+    that the temporal filter had rejected (rejected: chunk_id; contexts: ident, chunk_id of every source an answer was given).
+    Problems are codes with the place, number or chunk they concern, sorted. Answers without any problem are safe.
     """
-    found = [issues.where("level is not null").select(ident, "level", F.concat_ws(" ", "code", "place").alias("problem"))]
+    wording = lambda df: df.withColumn("_w", F.lower("raw"))
+    judged = wording(issues.where("level is not null")).groupBy(ident, "_w").agg(F.max_by("level", "place").alias("_level"))
+    absent = wording(grounded.where("not grounded")).join(judged, [ident, "_w"], "left")
+    blocked = F.coalesce(F.col("_level") == "blocking", F.lit(False))
+    found = [absent.select(ident, F.when(blocked, "blocking").otherwise("warning").alias("level"), F.concat_ws(" ", F.when(blocked, "BLOCKED_NOT_IN_CONTEXT").otherwise("NOT_IN_CONTEXT"), "place").alias("problem"))]
     if rejected is not None:
         bad = contexts.join(rejected.select("chunk_id").distinct(), "chunk_id", "left_semi")
         found.append(bad.select(ident, F.lit("blocking").alias("level"), F.concat(F.lit("REJECTED_SOURCE "), F.col("chunk_id").cast("string")).alias("problem")))
-    if unsupported is not None:
-        found.append(unsupported.where("not grounded").select(ident, F.lit("warning").alias("level"), F.concat_ws(" ", F.lit("NOT_IN_CONTEXT"), "place").alias("problem")))
+    if references is not None:
+        found.append(references.where("not given").select(ident, F.lit("blocking").alias("level"), F.concat_ws(" ", F.lit("SOURCE_NOT_GIVEN"), "number").alias("problem")))
     every = reduce(lambda a, b: a.unionByName(b), found)
     listed = every.groupBy(ident).agg(F.array_sort(F.collect_set("problem")).alias("problems"))
-    out = verdicts(every, ident, contexts.select(ident).unionByName(issues.select(ident))).join(listed, ident, "left")
+    out = verdicts(every, ident, contexts.select(ident).unionByName(grounded.select(ident))).join(listed, ident, "left")
     return out.select(ident, "verdict", F.coalesce("problems", F.expr("cast(array() as array<string>)")).alias("problems"))

@@ -104,17 +104,20 @@ def text_of(value: Column, *names: str) -> Column:
 def flatten_gazette(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """One row per announced item of JSON summaries (VARIANT): day, section, department, heading, id, title, link.
 
-    Every level may be one object instead of a list, and items may hang under a department without a heading.
+    The summary stands under `data` or at the root, and its day has one of three names. Every level may be one object instead
+    of a list. Items hang under a department only where it has no headings; beside headings they are passed over.
     """
     get = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
     keep = [c for c in payloads.columns if c != column]
-    root = get(get(F.col(column), "data"), "sumario")
-    level = payloads.select(*keep, text_of(get(root, "metadatos"), "fecha_publicacion").alias("fecha"), F.explode(as_list(get(root, "diario"))).alias("d"))
+    root = F.coalesce(F.try_variant_get(F.col(column), "$.data.sumario", "variant"), get(F.col(column), "sumario"))
+    day = F.coalesce(*(F.nullif(text_of(get(root, "metadatos"), name), F.lit("")) for name in ("fecha_publicacion", "fechaInv", "fecha")))
+    level = payloads.select(*keep, day.alias("fecha"), F.explode(as_list(get(root, "diario"))).alias("d"))
     level = level.select(*keep, "fecha", F.explode(as_list(get(F.col("d"), "seccion"))).alias("s"))
     level = level.select(*keep, "fecha", text_of(F.col("s"), "nombre").alias("seccion"), F.explode(as_list(get(F.col("s"), "departamento"))).alias("p"))
-    level = level.select(*keep, "fecha", "seccion", text_of(F.col("p"), "nombre").alias("departamento"), F.explode(F.concat(as_list(get(F.col("p"), "epigrafe")), F.array("p"))).alias("e"), F.col("p"))
-    own = F.to_json("e") == F.to_json("p")
-    level = level.select(*keep, "fecha", "seccion", "departamento", F.when(~own, text_of(F.col("e"), "nombre")).alias("epigrafe"), F.explode(as_list(get(F.col("e"), "item"))).alias("i"))
+    level = level.select(*keep, "fecha", "seccion", text_of(F.col("p"), "nombre").alias("departamento"), "p", as_list(get(F.col("p"), "epigrafe")).alias("headings"))
+    level = level.withColumn("bare", F.coalesce(F.size("headings"), F.lit(0)) <= 0)
+    level = level.select(*keep, "fecha", "seccion", "departamento", "bare", F.explode(F.when(F.col("bare"), F.array("p")).otherwise(F.col("headings"))).alias("e"))
+    level = level.select(*keep, "fecha", "seccion", "departamento", F.when(~F.col("bare"), text_of(F.col("e"), "nombre")).alias("epigrafe"), F.explode(as_list(get(F.col("e"), "item"))).alias("i"))
     return level.select(*keep, "fecha", "seccion", "departamento", "epigrafe", text_of(F.col("i"), "identificador").alias("identificador"), text_of(F.col("i"), "titulo").alias("titulo"), text_of(F.col("i"), "url_pdf").alias("url_pdf"))
 
 

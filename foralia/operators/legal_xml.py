@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foralia.functions.text import collapse, decode_entities
+from foralia.functions.text import collapse, decode_entities, once
 
-FOOTNOTES = r"nota_pie|pie_unico|cita"
+# The class of the editor's notes, and the short names by which they cite a norm.
+FOOTNOTE = r"nota_pie(?:_\d+)?"
+SHORT_CITATION = r"(?iu)\b(?:Ley|Real\s+Decreto-?[Ll]ey|Real\s+Decreto|RDL|RDLeg|RD)\s+\d+\s*/\s*\d{4}\b"
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -23,7 +25,7 @@ def blocks(texts: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
 
 def version_text(version: Column) -> Column:
     """Its paragraphs but footnotes, without tags, white space collapsed, one a line."""
-    ps = F.filter(F.regexp_extract_all(version, F.lit(r"(?s)<p\b[^>]*>.*?</p>"), F.lit(0)), lambda p: ~p.rlike(rf'^<p\b[^>]*class="(?:{FOOTNOTES})'))
+    ps = F.filter(F.regexp_extract_all(version, F.lit(r"(?s)<p\b[^>]*>.*?</p>"), F.lit(0)), lambda p: ~p.rlike(rf'^<p\b[^>]*class="{FOOTNOTE}"'))
     plain = F.transform(ps, lambda p: collapse(F.regexp_replace(p, "<[^>]+>", "")))
     return decode_entities(F.array_join(F.filter(plain, lambda p: p != ""), "\n"))
 
@@ -37,6 +39,13 @@ def version_at(body: Column, day: Column) -> Column:
     return F.aggregate(live, F.lit(None).cast("struct<start:string,end:string,v:string>"), lambda best, x: F.when(best["start"].isNull() | (x["start"] > best["start"]), x).otherwise(best), lambda best: best["v"])
 
 
+def modified_by(version: Column) -> Column:
+    """The norm that made a version: the first id in its footnotes, else `law:` and the first short citation there, else null."""
+    first = lambda notes, pattern: F.try_element_at(F.filter(F.transform(notes, lambda n: F.regexp_extract(n, pattern, 0)), lambda x: x != ""), F.lit(1))
+    notes = F.regexp_extract_all(version, F.lit(rf'(?s)<p\s+class="{FOOTNOTE}"[^>]*>(.*?)</p>'), F.lit(1))
+    return once(notes, lambda n: F.coalesce(first(n, r"\bBOE-A-\d{4}-\d{1,7}\b"), F.concat(F.lit("law:"), F.trim(first(n, SHORT_CITATION)))))
+
+
 def article_versions(texts: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
     """The full timeline: (keys, article_id, effective_from, effective_to, text, text_hash, modified_by).
 
@@ -45,7 +54,7 @@ def article_versions(texts: DataFrame, keys: list[str], xml: str = "xml") -> Dat
     day = lambda tag, name: F.try_to_timestamp(_attribute(tag, name), F.lit("yyyyMMdd")).cast("date")
     every = blocks(texts, keys, xml).where("kind = 'precepto'").select(*keys, "block_id", F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<version\b[^>]*>.*?</version>"), F.lit(0))).alias("v"))
     head = F.regexp_extract("v", r"^<version\b[^>]*>", 0)
-    own = every.select(*keys, F.col("block_id").alias("article_id"), day(head, "fecha_vigencia").alias("effective_from"), day(head, "fecha_vigencia_fin").alias("stated_end"), version_text(F.col("v")).alias("text"), F.nullif(F.regexp_extract("v", r"BOE-A-\d{4}-\d+", 0), F.lit("")).alias("modified_by"))
+    own = every.select(*keys, F.col("block_id").alias("article_id"), day(head, "fecha_vigencia").alias("effective_from"), day(head, "fecha_vigencia_fin").alias("stated_end"), version_text(F.col("v")).alias("text"), modified_by(F.col("v")).alias("modified_by"))
     own = own.where("effective_from is not null and text <> ''")
     following = F.lead("effective_from").over(Window.partitionBy(*keys, "article_id").orderBy("effective_from"))
     return own.withColumn("effective_to", F.coalesce("stated_end", F.date_sub(following, 1))).drop("stated_end").withColumn("text_hash", F.sha2("text", 256))
@@ -55,3 +64,9 @@ def block_hashes(versions: DataFrame, keys: list[str], day: Column) -> DataFrame
     """(keys, block_id, hash) of the version in force on `day` with the latest start; blocks not in force are absent."""
     live = versions.where((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day)))
     return live.groupBy(*keys, F.col("article_id").alias("block_id")).agg(F.max_by("text_hash", "effective_from").alias("hash"))
+
+
+def hash_block_at(texts: DataFrame, keys: list[str], day: Column, xml: str = "xml") -> DataFrame:
+    """(keys, block_id, hash, active) of every article; one without a version in force on `day` is not active and has the hash of ''."""
+    every = blocks(texts, keys, xml).where("kind = 'precepto'").withColumn("_v", version_at(F.col("body"), day))
+    return every.select(*keys, "block_id", F.sha2(F.coalesce(version_text(F.col("_v")), F.lit("")), 256).alias("hash"), F.col("_v").isNotNull().alias("active"))

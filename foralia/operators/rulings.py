@@ -151,17 +151,23 @@ def tax_office(raw: DataFrame) -> DataFrame:
 
 
 def court(raw: DataFrame) -> DataFrame:
-    """Court rulings with outcome of the verdict and the reasoning's key paragraph."""
+    """Court rulings with outcome of the verdict, the reasoning's key paragraph and relevance; corpus.ruling_chunks takes those that are ok.
+
+    `organo` is the kind of court that `tribunal_codigo`, the ECLI's code, stands for.
+    """
     p = parse(raw, COURT_LABELS, COURT_SECTIONS)
     ident, day = ids.ecli(_get("header", "ecli")), ids.written_date(_get("header", "fecha"))
     verdict = F.coalesce(_get("sections", "fallo"), verdict_part(F.col("plain")), F.col("plain"))
     reasons = tx.paragraphs(F.coalesce(_get("sections", "fundamentos"), F.col("plain")))
     markers = [r"(?iu)\bdoctrina\b", r"(?iu)\bcriterio\b", r"(?iu)\bfijamos\b|\bdeclaramos\b", r"(?iu)\ben\s+consecuencia\b"]
     key = F.coalesce(tx.first_by_marker(reasons, markers), F.try_element_at(F.filter(reasons, lambda x: F.length(x) > 50), F.lit(-1)))
-    why = F.when(ident.isNull(), "no_ecli").when(day.isNull(), "no_date").otherwise("ok")
+    code = F.nullif(F.regexp_extract(ident, r"^ECLI:ES:([^:]+)", 1), F.lit(""))
+    why = F.when(ident.isNull(), "no_ecli").when(court_organ(code).isNull(), "no_court").when(day.isNull(), "no_date").otherwise("ok")
+    judged = classify(F.col("header"), F.col("plain"))
     return p.select(
-        *raw.columns, ident.alias("ecli"), F.regexp_extract(ident, r"^ECLI:ES:([A-Z]+)", 1).alias("organo"), _get("header", "sala").alias("sala"), day.alias("fecha"),
-        F.coalesce(outcome(verdict, 1500), F.lit("otro")).alias("fallo_sentido"), verdict.alias("fallo_texto"), tx.max_chars(key, 1200).alias("ratio_decidendi"), _get("header", "resumen").alias("resumen"), F.sha2("plain", 256).alias("content_hash"), why.alias("outcome"),
+        *raw.columns, ident.alias("ecli"), code.alias("tribunal_codigo"), court_organ(code).alias("organo"), _get("header", "sala").alias("sala"), _get("header", "seccion").alias("seccion"), day.alias("fecha"),
+        _get("header", "numero").alias("numero_resolucion"), F.coalesce(outcome(verdict, 1500), F.lit("otro")).alias("fallo_sentido"), verdict.alias("fallo_texto"), tx.max_chars(key, 1200).alias("ratio_decidendi"),
+        _get("header", "resumen").alias("resumen"), judged["relevance"].alias("relevance"), judged["keywords"].alias("keywords"), F.sha2("plain", 256).alias("content_hash"), why.alias("outcome"),
     )
 
 
@@ -173,9 +179,19 @@ def tribunal(raw: DataFrame) -> DataFrame:
     head, match = F.left("plain", F.lit(1500)), lambda t, v: t.rlike(v)
     kind = F.coalesce(_ladder(head, kinds, match), _ladder(F.col("plain"), kinds, match), F.lit("ordinaria"))
     organ = tribunal_organ(F.col("header"), number)
+    seat = F.coalesce(*(F.nullif(_get("header", k), F.lit("")) for k in ("sede", "organo", "unidad", "sala")))
     why = F.when(number.isNull(), "no_number").when(day.isNull(), "no_date").otherwise("ok")
     return p.select(
-        *raw.columns, number.alias("numero"), organ.alias("organo"), day.alias("fecha"), kind.alias("tipo"), F.coalesce(outcome(F.col("plain"), 2000, True), F.lit("otro")).alias("sentido"),
+        *raw.columns, number.alias("numero"), organ.alias("organo"), seat.alias("sede"), day.alias("fecha"), kind.alias("tipo"), F.coalesce(outcome(F.col("plain"), 2000, True), F.lit("otro")).alias("sentido"),
         detect_tax(F.concat_ws(" ", _get("header", "normativa"), _get("header", "materia"), _get("header", "asunto")), F.col("plain")).alias("impuesto"), _get("header", "asunto").alias("asunto"),
         F.coalesce(tx.max_chars(_get("sections", "criterio"), 1500), criterion(F.col("plain"))).alias("criterio"), norms_cited(F.col("plain"), _get("header", "normativa")).alias("normativa"), F.sha2("plain", 256).alias("content_hash"), why.alias("outcome"),
     )
+
+
+def chunks_of(courts: DataFrame, offices: DataFrame, tribunals: DataFrame) -> DataFrame:
+    """Corpus chunks of the three families straight from raw pages (html); pages whose outcome is not ok have none."""
+    from foralia.operators import corpus
+
+    ok = lambda rows: rows.where("outcome = 'ok'")
+    relevant = ok(court(courts)).where("relevance <> 'no_fiscal'")
+    return corpus.corpus_chunks(corpus.ruling_chunks(relevant), corpus.tax_office_chunks(ok(tax_office(offices))), corpus.tribunal_chunks(ok(tribunal(tribunals))))

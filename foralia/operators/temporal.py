@@ -47,16 +47,18 @@ def orphans(versions: DataFrame, owners: DataFrame, key: str) -> DataFrame:
 def temporal_filter(chunks: DataFrame, day: Column, mode: str = "strict", start: str = "effective_from", end: str = "effective_to") -> DataFrame:
     """Adds verdict (accepted, rejected, disclaimer) and reason by validity on `day`.
 
-    strict rejects what is not in force, warn keeps it with a disclaimer, off accepts all; a chunk without any bound
-    is timeless and accepted.
+    What is not in force on the day is rejected in every mode: not yet, or no longer where its start is known. A chunk without
+    a start is rejected in strict, kept with a disclaimer in warn and accepted in off, whatever its end; so is every chunk where
+    the day is null (see required_day).
     """
     if mode not in ("strict", "warn", "off"):
         raise ValueError(f"unknown mode {mode}")
-    reason = F.when(day.isNull(), F.lit("no_date")).when(F.col(start) > day, F.lit("not_yet_in_force")).when(F.col(end) < day, F.lit("no_longer_in_force"))
-    if mode == "off":
-        reason = F.lit(None).cast("string")
-    bad = F.lit("rejected" if mode == "strict" else "disclaimer")
-    return chunks.withColumn("reason", reason).withColumn("verdict", F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(bad))
+    unknown = F.when(day.isNull(), "no_date").when(F.col(start).isNull(), "no_start")
+    out = F.when(F.col(start) > day, "not_yet_in_force").when(F.col(end) < day, "no_longer_in_force")
+    kept = F.lit({"strict": "rejected", "warn": "disclaimer", "off": "accepted"}[mode])
+    verdict = F.when(unknown.isNotNull(), kept).when(out.isNotNull(), "rejected").otherwise("accepted")
+    reason = F.when(unknown.isNotNull(), F.lit(None).cast("string") if mode == "off" else unknown).otherwise(out)
+    return chunks.withColumns({"reason": reason, "verdict": verdict})
 
 
 def required_day(queries: DataFrame, day: str = "devengo_date", mode: str = "strict", today: Column | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,24 +114,39 @@ SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || CASE WHEN
 
 
 def grounding_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as answers over their lines as sources: returned lines were rejected by date, late ones are not in the context, urgent orders carry a warning."""
+    """Orders as answers over their lines as sources, numbered as the lines are.
+
+    Each answer refers to sources 1 and 4 and to three citations: an id that stands in the text of its first line, an alias that resolves
+    to an id in the metadata of every third answer, and a year out of range, which is blocked unless a fifth of the answers' text holds it.
+    Some sources were rejected by date.
+    """
     o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    ident = F.col("l_orderkey").alias("answer")
-    name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    issues = o.select(F.col("o_orderkey").alias("answer"), F.lit(1).alias("place"), F.when(F.col("o_orderpriority") == "1-URGENT", "warning").alias("level"), F.lit("NO_VERSION").alias("code"))
+    key, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    answer = F.concat(F.lit("Véase BOE-A-2001-"), text(key % 9 + 1), F.lit(" y la LIRPF [FUENTE 1]; también BOE-A-2999-7 [fuente  4]."))
+    answers = o.select(key.alias("answer_id"), answer.alias("answer"))
+    name = F.concat_ws("-", text(F.col("l_orderkey")), text(F.col("l_linenumber")))
+    sources = lines.select(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("index"), name.alias("chunk_id"))
+    bodies = F.array(F.concat(F.lit("Según boe-a-2001-"), text(key % 4 + 1), F.lit(" ")), F.when(key % 5 == 0, "el BOE-A-2999-7 dice"))
+    contexts = o.select(key.alias("answer_id"), bodies.alias("bodies"), F.when(key % 3 == 0, F.array(F.lit("BOE-ID: BOE-A-2006-20764"))).alias("metadata"))
+    norms = spark.createDataFrame([("BOE-A-2006-20764", date(2007, 1, 1), None, "vigente")] + [(f"BOE-A-2001-{n}", date(2001, 1, 1), None, "vigente") for n in range(1, 9)], "norma_boe_id string, effective_from date, effective_to date, status string")
+    pins = spark.createDataFrame([], "boe_id string, number string, suffix string")
+    issues = citations.verify(answers, "answer_id", F.lit(date(2024, 1, 1)), norms.select(F.col("norma_boe_id").alias("boe_id")), norms, pins, this_year=2024, text="answer")
     rejected = lines.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).select(name.alias("chunk_id"))
-    unsupported = lines.select(ident, F.col("l_linenumber").alias("place"), (F.col("l_linenumber") < 7).alias("grounded"))
-    found = citations.grounding(issues, "answer", lines.select(ident, name.alias("chunk_id")), rejected, unsupported)
-    return found.select("answer", "verdict", F.array_join("problems", "; ").alias("problems"))
+    grounded = citations.ground(answers, contexts, "answer_id", metadata="metadata")
+    found = citations.grounding(issues, "answer_id", sources, grounded, rejected, citations.source_references(answers, sources, "answer_id"))
+    return found.select("answer_id", "verdict", F.array_join("problems", "; ").alias("problems"))
 
 
 GROUNDING_SQL = """
-WITH p AS (SELECT o_orderkey AS answer, 1 AS level, 'NO_VERSION 1' AS problem FROM orders WHERE o_orderpriority = '1-URGENT'
-  UNION ALL SELECT l_orderkey, 2, 'REJECTED_SOURCE ' || l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45
-  UNION ALL SELECT l_orderkey, 1, 'NOT_IN_CONTEXT ' || l_linenumber FROM lineitem WHERE l_linenumber >= 7),
-g AS (SELECT answer, max(level) AS level, list_sort(list_distinct(list(problem))) AS problems FROM p GROUP BY 1),
-a AS (SELECT o_orderkey AS answer FROM orders UNION SELECT l_orderkey FROM lineitem)
-SELECT a.answer, CASE level WHEN 2 THEN 'block' WHEN 1 THEN 'warn' ELSE 'safe' END AS verdict, coalesce(array_to_string(problems, '; '), '') AS problems FROM a LEFT JOIN g ON g.answer = a.answer
+WITH a AS (SELECT o_orderkey AS k FROM orders), l AS (SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem),
+p AS (SELECT l_orderkey AS k, 2 AS level, 'REJECTED_SOURCE ' || l_orderkey || '-' || l_linenumber AS problem FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45
+  UNION ALL SELECT k, 2, 'SOURCE_NOT_GIVEN ' || n FROM a CROSS JOIN (VALUES (1), (4)) v(n) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k = a.k AND l.n = v.n)
+  UNION ALL SELECT k, CASE WHEN k % 9 = 8 THEN 2 ELSE 1 END, CASE WHEN k % 9 = 8 THEN 'BLOCKED_NOT_IN_CONTEXT 0' ELSE 'NOT_IN_CONTEXT 0' END FROM a WHERE k % 9 <> k % 4
+  UNION ALL SELECT k, 1, 'NOT_IN_CONTEXT 1' FROM a WHERE k % 3 <> 0
+  UNION ALL SELECT k, 2, 'BLOCKED_NOT_IN_CONTEXT 2' FROM a WHERE k % 5 <> 0),
+g AS (SELECT k, max(level) AS level, list_sort(list_distinct(list(problem))) AS problems FROM p GROUP BY 1),
+e AS (SELECT k FROM a UNION SELECT k FROM l)
+SELECT e.k AS answer_id, CASE level WHEN 2 THEN 'block' WHEN 1 THEN 'warn' ELSE 'safe' END AS verdict, coalesce(array_to_string(problems, '; '), '') AS problems FROM e LEFT JOIN g ON g.k = e.k
 """
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,15 +16,19 @@ from foralia.runtime import table
 
 
 def temporal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as chunks valid for 200 days, a third without end, against one day."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("effective_from"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(F.to_date("o_orderdate"), 200)).alias("effective_to"))
-    return temporal.temporal_filter(rows, F.lit(date(1998, 7, 1))).select("o_orderkey", "verdict", "reason")
+    """Orders as chunks valid for 200 days, a third without end and a seventh without start, against one day in every mode."""
+    start = F.when(F.col("o_orderkey") % 7 != 0, F.to_date("o_orderdate"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", start.alias("effective_from"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(F.to_date("o_orderdate"), 200)).alias("effective_to"))
+    judged = [temporal.temporal_filter(rows, F.lit(date(1998, 7, 1)), mode).select("o_orderkey", F.lit(mode).alias("mode"), "verdict", "reason") for mode in ("strict", "warn", "off")]
+    return reduce(DataFrame.unionByName, judged)
 
 
 TEMPORAL_SQL = """
-WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + 200 END AS b FROM orders),
-r AS (SELECT o_orderkey, CASE WHEN a > DATE '1998-07-01' THEN 'not_yet_in_force' WHEN b < DATE '1998-07-01' THEN 'no_longer_in_force' END AS reason FROM o)
-SELECT o_orderkey, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, reason FROM r
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS a, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + 200 END AS b FROM orders),
+m(mode, kept) AS (VALUES ('strict', 'rejected'), ('warn', 'disclaimer'), ('off', 'accepted'))
+SELECT o_orderkey, mode, CASE WHEN a IS NULL THEN kept WHEN a > DATE '1998-07-01' OR b < DATE '1998-07-01' THEN 'rejected' ELSE 'accepted' END AS verdict,
+  CASE WHEN a IS NULL AND mode = 'off' THEN NULL WHEN a IS NULL THEN 'no_start' WHEN a > DATE '1998-07-01' THEN 'not_yet_in_force' WHEN b < DATE '1998-07-01' THEN 'no_longer_in_force' END AS reason
+FROM o CROSS JOIN m
 """
 
 
@@ -62,18 +67,23 @@ SELECT o_orderkey, CAST(d AS VARCHAR) AS written, CAST(CASE WHEN month(d) = 2 AN
 
 
 def article_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consolidated XML built from each customer's nation and balance: two versions of one article, read back."""
-    version = lambda day, body: F.concat(F.lit(f'<version fecha_vigencia="{day}"><p class="parrafo">'), body, F.lit('</p><p class="nota_pie">BOE-A-2014-1</p></version>'))
-    xml = F.concat(F.lit('<bloque id="a1" tipo="precepto">'), version("20100101", F.col("c_name")), version("20200101", F.concat(F.lit("<b>Art.</b>  "), F.col("c_mktsegment"))), F.lit("</bloque>"))
+    """Consolidated XML built from each customer's nation and balance: two versions of one article, read back.
+
+    Both quote a law in the text; footnotes name who modified the first by its id or, for odd keys, by its number alone; none the second.
+    """
+    version = lambda day, body, note: F.concat(F.lit(f'<version fecha_vigencia="{day}"><p class="parrafo">'), body, F.lit('</p><p class="cita">véase BOE-A-1999-9</p>'), note, F.lit("</version>"))
+    footnote = F.when(F.col("c_custkey") % 2 == 0, '<p class="nota_pie">Ley 1/2001</p><p class="nota_pie_2">por BOE-A-2014-1</p>').otherwise('<p class="nota_pie_2">por el Real Decreto 7/2013</p>')
+    xml = F.concat(F.lit('<bloque id="a1" tipo="precepto">'), version("20100101", F.col("c_name"), footnote), version("20200101", F.concat(F.lit("<b>Art.</b>  "), F.col("c_mktsegment")), F.lit("")), F.lit("</bloque>"))
     texts = table(spark, sf_dir, "customer").select("c_custkey", xml.alias("xml"))
     rows = legal_xml.article_versions(texts, ["c_custkey"])
     return rows.select("c_custkey", "article_id", F.col("effective_from").cast("string").alias("effective_from"), F.col("effective_to").cast("string").alias("effective_to"), "text", "text_hash", "modified_by")
 
 
 ARTICLE_SQL = """
-WITH v AS (SELECT c_custkey, '2010-01-01' AS effective_from, '2019-12-31' AS effective_to, c_name AS text FROM customer
-  UNION ALL SELECT c_custkey, '2020-01-01', NULL, 'Art. ' || c_mktsegment FROM customer)
-SELECT c_custkey, 'a1' AS article_id, effective_from, effective_to, text, sha256(text) AS text_hash, 'BOE-A-2014-1' AS modified_by FROM v
+WITH v AS (SELECT c_custkey, '2010-01-01' AS effective_from, '2019-12-31' AS effective_to, c_name || chr(10) || 'véase BOE-A-1999-9' AS text,
+    CASE WHEN c_custkey % 2 = 0 THEN 'BOE-A-2014-1' ELSE 'law:Real Decreto 7/2013' END AS modified_by FROM customer
+  UNION ALL SELECT c_custkey, '2020-01-01', NULL, 'Art. ' || c_mktsegment || chr(10) || 'véase BOE-A-1999-9', NULL FROM customer)
+SELECT c_custkey, 'a1' AS article_id, effective_from, effective_to, text, sha256(text) AS text_hash, modified_by FROM v
 """
 
 

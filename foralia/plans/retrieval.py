@@ -404,18 +404,23 @@ FROM (SELECT * FROM a WHERE k = 1) a FULL OUTER JOIN (SELECT * FROM b WHERE k =
 
 
 def gazette_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries built from events: one item or a list of two, with and without a heading."""
-    ident, even = F.col("event_id").cast("string"), F.col("event_id") % 2 == 0
+    """Summaries built from events: one item or a list of two, with and without a heading, a bare item beside some headings,
+    the summary at the root or under `data`, and its day by three names."""
+    key, ident = F.col("event_id"), F.col("event_id").cast("string")
     item = lambda n: F.concat(F.lit('{"identificador":"I'), ident, F.lit(f'-{n}","titulo":"'), F.col("event_type"), F.lit('","url_pdf":{"texto":"/p"}}'))
-    items = F.when(even, item(1)).otherwise(F.concat(F.lit("["), item(1), F.lit(","), item(2), F.lit("]")))
-    under = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"epigrafe":[{"nombre":"Ley","item":'), items, F.lit("}]"))).otherwise(F.concat(F.lit('"item":'), items))
-    payload = F.concat(F.lit('{"data":{"sumario":{"metadatos":{"fecha_publicacion":"20240130"},"diario":[{"seccion":{"nombre":"I","departamento":{"nombre":"Hacienda",'), under, F.lit("}}}]}}}"))
+    items = F.when(key % 2 == 0, item(1)).otherwise(F.concat(F.lit("["), item(1), F.lit(","), item(2), F.lit("]")))
+    beside = F.when(key % 6 == 0, F.concat(F.lit(',"item":'), item(3))).otherwise("")
+    under = F.when(key % 3 == 0, F.concat(F.lit('"epigrafe":[{"nombre":"Ley","item":'), items, F.lit("}]"), beside)).otherwise(F.concat(F.lit('"item":'), items))
+    day = F.when(key % 5 == 0, '"fechaInv":{"texto":"20240131"}').when(key % 5 == 1, '"fecha":"20240201"').otherwise('"fecha_publicacion":"20240130","fecha":"x"')
+    summary = F.concat(F.lit('{"sumario":{"metadatos":{'), day, F.lit('},"diario":[{"seccion":{"nombre":"I","departamento":{"nombre":"Hacienda",'), under, F.lit("}}}]}}"))
+    payload = F.when(key % 4 == 0, summary).otherwise(F.concat(F.lit('{"data":'), summary, F.lit("}")))
     rows = ingest.flatten_gazette(table(spark, sf_dir, "events").select("event_id", F.parse_json(payload).alias("payload")))
     return rows.select("event_id", "fecha", "seccion", "departamento", "epigrafe", "identificador", "titulo", "url_pdf")
 
 
 FLATTEN_SQL = """
-SELECT event_id, '20240130' AS fecha, 'I' AS seccion, 'Hacienda' AS departamento, CASE WHEN event_id % 3 = 0 THEN 'Ley' END AS epigrafe, 'I' || event_id || '-' || n AS identificador, event_type AS titulo, '/p' AS url_pdf
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN '20240131' WHEN 1 THEN '20240201' ELSE '20240130' END AS fecha, 'I' AS seccion, 'Hacienda' AS departamento,
+  CASE WHEN event_id % 3 = 0 THEN 'Ley' END AS epigrafe, 'I' || event_id || '-' || n AS identificador, event_type AS titulo, '/p' AS url_pdf
 FROM events CROSS JOIN (VALUES (1), (2)) v(n) WHERE n = 1 OR event_id % 2 = 1
 """
 

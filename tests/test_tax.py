@@ -202,5 +202,10 @@ def test_overlaps_orphans_and_filter_modes(spark):
     assert [r["k"] for r in temporal.overlap_violations(v, ["k"]).collect()] == ["B"]
     assert {r["k"] for r in temporal.orphans(v, spark.createDataFrame([("A",)], "k string"), "k").collect()} == {"B"}
     day = F.lit(date(2020, 6, 30))
-    for mode, want in (("strict", ["accepted", "rejected", "accepted", "rejected"]), ("warn", ["accepted", "disclaimer", "accepted", "disclaimer"]), ("off", ["accepted"] * 4)):
-        assert [r["verdict"] for r in temporal.temporal_filter(v, day, mode).orderBy("k", "effective_from").collect()] == want
+    for mode in ("strict", "warn", "off"):
+        assert [r["verdict"] for r in temporal.temporal_filter(v, day, mode).orderBy("k", "effective_from").collect()] == ["accepted", "rejected", "accepted", "rejected"]
+    open_start = spark.createDataFrame([(1, None, None), (2, None, date(2001, 1, 1)), (3, date(2001, 1, 1), date(2002, 1, 1)), (4, date(2020, 6, 30), date(2020, 6, 30))], "k int, effective_from date, effective_to date")
+    for mode, want in (("strict", ["rejected", "rejected", "rejected", "accepted"]), ("warn", ["disclaimer", "disclaimer", "rejected", "accepted"]), ("off", ["accepted", "accepted", "rejected", "accepted"])):
+        got = temporal.temporal_filter(open_start, day, mode).orderBy("k").collect()
+        assert [r["verdict"] for r in got] == want
+        assert [r["reason"] for r in got] == [None if mode == "off" else "no_start"] * 2 + ["no_longer_in_force", None]
