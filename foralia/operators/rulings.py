@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foralia.functions import ids, text as tx
+from foralia.runtime import materialize
 
 # Header labels, folded, and their canonical names.
 TAX_OFFICE_LABELS = {
@@ -189,9 +190,12 @@ def tribunal(raw: DataFrame) -> DataFrame:
 
 
 def chunks_of(courts: DataFrame, offices: DataFrame, tribunals: DataFrame) -> DataFrame:
-    """Corpus chunks of the three families straight from raw pages (html); pages whose outcome is not ok have none."""
+    """Corpus chunks of the three families straight from raw pages (html); pages whose outcome is not ok have none.
+
+    Pages are parsed once into a table: filters on what was parsed would otherwise be pushed below the parsing and repeat it.
+    """
     from foralia.operators import corpus
 
-    ok = lambda rows: rows.where("outcome = 'ok'")
+    ok = lambda rows: materialize(rows, "rulings").where("outcome = 'ok'")
     relevant = ok(court(courts)).where("relevance <> 'no_fiscal'")
     return corpus.corpus_chunks(corpus.ruling_chunks(relevant), corpus.tax_office_chunks(ok(tax_office(offices))), corpus.tribunal_chunks(ok(tribunal(tribunals))))

@@ -168,6 +168,34 @@ SELECT l_orderkey, place, 'B' || l_suppkey AS boe_id, strftime(a, '%Y-%m-%d') AS
 FROM f JOIN v ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE CAST(o_orderdate AS DATE) BETWEEN a AND a + 900
 """
 
+def ruling_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of three families straight to chunks: courts of five codes, one of them unknown, half of them about taxes; numbers of rulings, every seventh broken."""
+    key = lambda c: F.col(c).cast("string")
+    p = lambda *parts: F.concat(F.lit("<p>"), *(x if not isinstance(x, str) else F.lit(x) for x in parts), F.lit("</p>"))
+    code = F.element_at(F.array(*map(F.lit, ("TS", "TSJM", "AN", "APM", "XX"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    matter = F.when(F.col("c_custkey") % 2 == 0, "IRPF").otherwise("Laboral")
+    reasons = "Fijamos como criterio interpretativo que la cuantía no se integra en la base."
+    court = F.concat(p("ECLI: ECLI:ES:", code, ":2024:", key("c_custkey")), p("Materia: ", matter), p("Número de resolución: ", key("c_custkey"), "/2024"), p("Fecha: 01/02/2024"), p("Fundamentos de derecho"), p(), p(reasons), p(), p("FALLO"), p("Estimamos el recurso."))
+    number = F.when(F.col("s_suppkey") % 7 == 0, "sin").otherwise(F.format_string("V%04d-24", "s_suppkey"))
+    office = F.concat(p("Núm. Consulta: ", number), p("Fecha salida: 05/02/2024"), p("Asunto: IVA"), p("Cuestión planteada"), p("Si tributa."), p("Contestación completa"), p("En consecuencia, ", F.col("s_name")))
+    claim = F.when(F.col("p_partkey") % 7 == 0, "sin").otherwise(F.format_string("%02d/%05d/2023", (F.col("p_partkey") % 3).cast("int"), "p_partkey"))
+    tribunal = F.concat(p("Número de resolución: ", claim), p("Fecha: 3 de mayo de 2023"), p("Asunto: IVA "), p("Criterio:"), p("El IVA de ", F.col("p_name")), p("Fallo"), p("Acuerda DESESTIMAR."))
+    page = lambda name, html: table(spark, sf_dir, name).select(html.alias("html"))
+    found = rulings.chunks_of(page("customer", court), page("supplier", office), page("part", tribunal))
+    return found.select("chunk_id", "source_type", "text", "organo", F.col("fecha").cast("string").alias("fecha"), F.col("tier").cast("long").alias("tier"))
+
+
+RULING_PAGES_SQL = """
+WITH c AS (SELECT c_custkey AS k, ['TS', 'TSJM', 'AN', 'APM', 'XX'][c_custkey % 5 + 1] AS code, ['TS', 'TSJ', 'AN', 'AP'][c_custkey % 5 + 1] AS organ, [20, 40, 30, 61][c_custkey % 5 + 1] AS tier FROM customer),
+t AS (SELECT printf('%02d/%05d/2023', p_partkey % 3, p_partkey) AS num, CASE p_partkey % 3 WHEN 0 THEN 'teac' ELSE 'tear' END AS organ, CASE p_partkey % 3 WHEN 0 THEN 41 ELSE 60 END AS tier, p_name FROM part WHERE p_partkey % 7 <> 0)
+SELECT 'sentencia::ECLI:ES:' || code || ':2024:' || k AS chunk_id, 'sentencia' AS source_type,
+  code || ' ' || k || '/2024 (2024-02-01)' || chr(10) || chr(10) || 'Ratio: Fijamos como criterio interpretativo que la cuantía no se integra en la base.' || chr(10) || chr(10) || 'Fallo: FALLO' || chr(10) || 'Estimamos el recurso.' AS text,
+  organ AS organo, '2024-02-01' AS fecha, tier::BIGINT AS tier FROM c WHERE organ IS NOT NULL AND k % 2 = 0
+UNION ALL SELECT 'consulta_dgt::' || printf('V%04d-24', s_suppkey), 'consulta_dgt', 'DGT ' || printf('V%04d-24', s_suppkey) || ' (2024-02-05) — IVA' || chr(10) || chr(10) || 'Cuestión: Cuestión planteada' || chr(10) || 'Si tributa.'
+  || chr(10) || chr(10) || 'Criterio: ' || 'Contestación completa' || chr(10) || 'En consecuencia, ' || s_name, NULL, '2024-02-05', 50 FROM supplier WHERE s_suppkey % 7 <> 0
+UNION ALL SELECT 'resolucion_teac::' || num, 'resolucion_teac', upper(organ) || ' ' || num || ' (2023-05-03, ordinaria) — IVA' || chr(10) || chr(10) || 'Criterio: Criterio:' || chr(10) || 'El IVA de ' || p_name, organ, '2023-05-03', tier FROM t
+"""
+
 QUERIES = {
     "law_chunks": (law_chunks, LAW_SQL),
     "court_relevance": (court_relevance, COURT_SQL),
@@ -175,5 +203,6 @@ QUERIES = {
     "answer_sources": (answer_sources, SOURCES_SQL),
     "point_ids": (point_ids, POINT_SQL),
     "grounding_levels": (grounding_levels, GROUNDING_SQL),
+    "ruling_pages": (ruling_pages, RULING_PAGES_SQL),
     "applicable_versions": (applicable_versions, APPLICABLE_SQL),
 }
