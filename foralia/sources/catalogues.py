@@ -21,6 +21,45 @@ def read_json(spark: SparkSession, path: str, member: str, schema: str) -> DataF
     return rows.select("file", "pos", F.from_json(F.to_json("e"), schema).alias("r")).select("file", "pos", "r.*")
 
 
+def broken_files(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """(file, problem) of the JSON files under `path` that read_json passes over: no JSON at all, or without a list to read."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    many = F.coalesce(F.try_variant_get("v", f"$.{member}", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+    return raw.select("file", F.when(F.col("v").isNull(), "broken JSON").when(many.isNull(), f"no list {member}").alias("problem")).where("problem is not null")
+
+
+def read_json_strict(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
+    """read_json where a file that it would pass over is an error that names up to five of them."""
+    wrong = [f"{r['file']}: {r['problem']}" for r in broken_files(spark, path, member).orderBy("file").limit(5).collect()]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return read_json(spark, path, member, schema)
+
+
+def merge_normas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(norms, versions, refused) of all files under `path` in load order: by file name, then by place in the file.
+
+    Permissive where load_normas is strict: of a norm that several files hold the first in load order counts, so do versions by norm
+    and start; the others, versions of norms that no file holds, and broken files are refused with file, place and problem.
+    """
+    at = F.struct("file", "pos")
+    norms = read_json(spark, path, "normas", NORM).where("boe_id is not null")
+    versions = read_json(spark, path, "versions", VERSION).where("norma_boe_id is not null and effective_from is not null")
+    first = lambda rows, keys: rows.groupBy(keys).agg(F.min(at).alias("_first"))
+    kept = norms.join(first(norms, ["boe_id"]), "boe_id").withColumn("_kept", at == F.col("_first"))
+    kept_versions = versions.join(first(versions, ["norma_boe_id", "effective_from"]), ["norma_boe_id", "effective_from"]).withColumn("_kept", at == F.col("_first"))
+    known = norms.select(F.col("boe_id").alias("norma_boe_id")).distinct().withColumn("_known", F.lit(True))
+    kept_versions = kept_versions.join(known, "norma_boe_id", "left")
+    again = lambda rows, what, test: rows.where(test).select("file", "pos", F.lit(what).alias("problem"))
+    refused = again(kept, "norm known before", ~F.col("_kept")).unionByName(again(kept_versions, "version known before", ~F.col("_kept")))
+    refused = refused.unionByName(again(kept_versions, "unknown norm", F.col("_kept") & F.col("_known").isNull()))
+    # A file may hold norms or versions alone; it is broken where it holds neither.
+    lists = broken_files(spark, path, "normas").join(broken_files(spark, path, "versions").select("file"), "file", "left_semi")
+    refused = refused.unionByName(lists.select("file", F.lit(None).cast("int").alias("pos"), "problem"))
+    return kept.where("_kept").drop("_kept", "_first"), kept_versions.where("_kept and _known").drop("_kept", "_first", "_known"), refused
+
+
 def quarantine(rows: DataFrame, checks: dict) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows with `problems`): checks maps a problem's name to the test that shows it."""
     found = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in checks.items())))
