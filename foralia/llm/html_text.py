@@ -2,6 +2,7 @@
 
 Every element's subtree is hashed; Spark counts each hash per host, and subtrees that recur on many pages of their
 host are deleted, as are elements that say by tag, role or class that they are menus, adverts, comments and the like.
+Inside `article` and `main` a class that may be a topic (related, search) says so only where it recurs on many pages of its host.
 """
 
 from __future__ import annotations
@@ -47,6 +48,12 @@ MARKS = {
     "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
     "comment", "comments", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "toolbar", "search",
 }
+#: Of these, words that also name what an article may be about: inside one they mark an element only with a word for controls.
+TOPICS = {
+    "banner", "promotion", "navigation", "menu", "footer", "notice", "overlay", "subscription", "login", "respond", "reply", "replies", "share", "sharing",
+    "social", "related", "recommended", "search", "aside", "consent", "comment",
+}
+CONTROLS = {"button", "buttons", "btn", "icon", "icons", "bar", "count"}
 HEADERS = {"header", "topbar"}
 #: Words that say where or what kind of box an element is, and nothing about its content.
 FURNITURE = {
@@ -188,15 +195,15 @@ def subtree_hashes(nodes: list[Node]) -> list[int | None]:
                 full = True
                 parts.append(" ".join(words))
         if full:
-            value = xxhash.xxh64_intdigest("\x00".join(parts).encode(errors="replace"))
-            out[k] = value - (1 << 64) if value >> 63 else value
+            out[k] = _signed(xxhash.xxh64_intdigest("\x00".join(parts).encode(errors="replace")))
     return out
 
 
 def held_subtrees(page: str) -> tuple[int | None, list[tuple[int | None, int | None, int]]]:
     """The page's own hash; each different subtree and hash of the container around it, 1 at the first one of a subtree, else 0.
 
-    The first entry is (None, None, 1) for the page itself. Paragraphs and inline elements are no containers.
+    The first entry is (None, None, 1) for the page itself. Paragraphs and inline elements are no containers. Class names that may be
+    topics inside article or main are counted like subtrees, once a page.
     """
     nodes = parse(page)
     hashes, around, seen = subtree_hashes(nodes), [0] * len(nodes), {None}
@@ -208,11 +215,34 @@ def held_subtrees(page: str) -> tuple[int | None, list[tuple[int | None, int | N
         if hashes[k] is not None and pair not in held:
             held[pair] = int(hashes[k] not in seen)
             seen.add(hashes[k])
+    inside = [False] * len(nodes)
+    for k in range(1, len(nodes)):
+        inside[k] = nodes[k].tag in ("article", "main") or inside[nodes[k].parent]
+        if inside[k] and (mark := mark_of(nodes[k], True)) and mark[1]:
+            held[mark[0], hashes[0]] = 1
     return hashes[0], [(h, a, f) for (h, a), f in held.items()]
 
 
-def marked(node: Node, inside: bool) -> bool:
-    """Whether tag, role, class or id say that the element is not part of the article."""
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def mark_of(node: Node, inside: bool) -> tuple[int, bool] | None:
+    """The first class or id value that says the element is not part of the article: its hash, and whether it may be a topic of
+    the article; None without any. Headings have none."""
+    if "=" in node.attributes and node.tag not in HEADINGS:
+        for name, a, b, c in ATTRIBUTE.findall(node.attributes):
+            if name.lower() in ("class", "id"):
+                for value in (a or b or c).split():
+                    words = {w.lower() for w in WORDS.findall(value)}
+                    if words & MARKS and words <= MARKS | FURNITURE or not inside and words & HEADERS and words <= FURNITURE | HEADERS:
+                        topic = inside and words & MARKS <= TOPICS and not words & CONTROLS
+                        return _signed(xxhash.xxh64_intdigest(f"mark\x00{node.tag}\x00{value}".encode(errors="replace"))), topic
+    return None
+
+
+def hidden(node: Node, inside: bool) -> bool:
+    """Whether tag, role or style say that the element is not part of the article."""
     if node.tag in DROPPED or node.tag == "header" and not inside:
         return True
     if "=" not in node.attributes:
@@ -223,11 +253,6 @@ def marked(node: Node, inside: bool) -> bool:
             case "role":
                 if value.lower() in ROLES:
                     return True
-            case "class" | "id" if node.tag not in HEADINGS:
-                for name_ in value.split():
-                    words = {w.lower() for w in WORDS.findall(name_)}
-                    if words & MARKS and words <= MARKS | FURNITURE or not inside and words & HEADERS and words <= FURNITURE | HEADERS:
-                        return True
             case "aria-hidden":
                 if value.lower() == "true":
                     return True
@@ -237,9 +262,44 @@ def marked(node: Node, inside: bool) -> bool:
     return False
 
 
+def _chosen(nodes: list[Node], gone: list[bool]) -> tuple[list[int], set[int]]:
+    """The elements that hold the page's main text, in page order, and articles in them that are teasers of other pages.
+
+    Of `main` elements the one with the most text, whatever stands beside articles in it. Without one, the outermost articles,
+    unless most of the page's text stands outside them and under a heading there: then the page without its articles.
+    """
+    text = [0] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        if not gone[k]:
+            text[k] += sum(len("".join(c.split())) for c in nodes[k].children if isinstance(c, str))
+            if k:
+                text[nodes[k].parent] += text[k]
+    mains = [k for k, node in enumerate(nodes) if node.tag == "main" and not gone[k] and text[k]]
+    within = [False] * len(nodes)
+    outer = []
+    for k, node in enumerate(nodes):
+        within[k] = k > 0 and (within[node.parent] or nodes[node.parent].tag == "article")
+        if node.tag == "article" and not gone[k] and not within[k] and text[k]:
+            outer.append(k)
+    held = sum(text[k] for k in outer)
+    if mains:
+        return [max(mains, key=lambda k: text[k])], set()
+    titled = any(node.tag in ("h1", "h2") and text[k] and not gone[k] and not within[k] and nodes[node.parent].tag != "article" for k, node in enumerate(nodes))
+    if outer and (2 * held >= text[0] or not titled):
+        return outer, set()
+    return [0], set(outer)
+
+
 def main_text(page: str, templates: set[int]) -> str:
-    """The page's blocks, one a line. Inside article or main, recurring paragraphs stay: only recurring containers go."""
+    """The page's blocks, one a line. Inside article or main, recurring paragraphs stay: only recurring containers go.
+
+    A page that would have no text for the sake of its class names keeps what only they mark.
+    """
     nodes = parse(page)
+    return _main_text(nodes, templates, True) or _main_text(nodes, templates, False)
+
+
+def _main_text(nodes: list[Node], templates: set[int], by_class: bool) -> str:
     hashes = subtree_hashes(nodes) if templates else []
     holds = [False] * len(nodes)
     for k in range(len(nodes) - 1, 0, -1):
@@ -250,11 +310,14 @@ def main_text(page: str, templates: set[int]) -> str:
         up = node.parent
         inside[k] = node.tag in ("article", "main") or k > 0 and inside[up]
         gone[k] = k > 0 and gone[up]
-        if k and not gone[k] and node.tag != "body":
-            gone[k] = not holds[k] and marked(node, inside[k])
-            if templates and not gone[k] and not holds[k] and hashes[k] in templates:
+        if k and not gone[k] and node.tag != "body" and not holds[k]:
+            mark = mark_of(node, inside[k]) if by_class else None
+            gone[k] = hidden(node, inside[k]) or mark is not None and (not mark[1] or mark[0] in templates)
+            if templates and not gone[k] and hashes[k] in templates:
                 gone[k] = not inside[k] or node.tag in BLOCKS - PARAGRAPHS - {"article", "main", "br", "hr"}
-    kept = [k for k, node in enumerate(nodes) if node.tag == "article" and not gone[k]] or [k for k, node in enumerate(nodes) if node.tag == "main" and not gone[k]] or [0]
+    kept, teasers = _chosen(nodes, gone)
+    for k in teasers:
+        gone[k] = True
     blocks: list[str] = []
     pending: list[str] = []
 

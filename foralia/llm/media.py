@@ -109,9 +109,15 @@ def _table(data: memoryview, span: tuple[int, int], form: str, columns: int = 1)
 
 def _timing(data: memoryview, span: tuple[int, int]) -> tuple[int, int]:
     """(timescale, duration) of a media header, versions 0 and 1."""
-    if data[span[0]] == 1:
-        return struct.unpack_from(">IQ", data, span[0] + 20)
-    return struct.unpack_from(">II", data, span[0] + 12)
+    return _field(data, span, (">II", 12), (">IQ", 20))
+
+
+def _field(data: memoryview, span: tuple[int, int], old: tuple[str, int], new: tuple[str, int]) -> tuple:
+    """Numbers at a place of a full box that depends on its version; a box too short for them is an error."""
+    form, at = new if span[0] < span[1] and data[span[0]] == 1 else old
+    if span[0] + at + struct.calcsize(form) > span[1]:
+        raise ValueError("header exceeds its box")
+    return struct.unpack_from(form, data, span[0] + at)
 
 
 def _samples(data: memoryview, at: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +224,7 @@ def read_tracks(data: bytes) -> list[dict]:
             codec = bytes(view[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
             handler = bytes(view[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in at else ""
             offsets, sizes, lengths, keys = _samples(view, at)
-            ident = struct.unpack_from(">I", view, at[b"tkhd"][0] + (20 if view[at[b"tkhd"][0]] == 1 else 12))[0] if b"tkhd" in at else 0
+            ident = _field(view, at[b"tkhd"], (">I", 12), (">I", 20))[0] if b"tkhd" in at else 0
             if more := fragments.get(ident):
                 extra = np.array(more, np.int64).reshape(-1, 4)
                 keys = np.concatenate([keys, len(sizes) + np.nonzero(extra[:, 3])[0]])
@@ -226,7 +232,7 @@ def read_tracks(data: bytes) -> list[dict]:
                 duration = max(duration, int(lengths.sum()))
             if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
                 continue
-        except (KeyError, ValueError, struct.error):
+        except (KeyError, IndexError, ValueError, struct.error):
             continue
         ends = np.append(keys[1:], len(sizes)) - 1
         ranges = np.stack([offsets[keys], offsets[ends] + sizes[ends] - offsets[keys]], axis=1) if len(keys) else np.zeros((0, 2), np.int64)

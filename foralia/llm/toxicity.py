@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse words.
 
 One weight vector serves all thresholds: P(grade <= k) = sigmoid(threshold_k - w.x), thresholds increasing. Grades are
-the labels' own, from 0 for clean upwards, any number of them; labels that say only yes or no give two grades, one
+the labels' own, from 0 for clean upwards, up to MAX_GRADES of them; labels that say only yes or no give two grades, one
 threshold, and an expected severity that is the probability of toxic.
 """
 
@@ -20,6 +20,8 @@ from foralia.runtime import materialize, table
 #: Labelled documents used to fit (the first by hash of doc_id), and words kept as features: bounds of the fit alone.
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4096
+#: Different grades that labels may have; more are an error.
+MAX_GRADES = 100
 #: A word must follow so many different words in toxic documents, and half as many as it has toxic documents: copies of
 #: one passage repeat their contexts and prove nothing more than the first.
 MIN_CONTEXTS = 5
@@ -47,6 +49,8 @@ class OrdinalModel:
     weights: np.ndarray
     #: One fewer than grades.
     thresholds: np.ndarray
+    #: The grades, from 0 for clean upwards: thresholds lie between neighbours, whatever their distance.
+    levels: np.ndarray
 
     def scores(self, texts) -> np.ndarray:
         known = self.vocabulary.keys()
@@ -91,11 +95,11 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """Fits on at most `max_labelled` labelled documents, equal texts once, with at most `max_features` words.
 
-    `labels.toxic` is the grade; under zero counts as zero. Labels without doc_id or grade are left out; of several for
+    `labels.toxic` is the grade, any of up to MAX_GRADES different numbers; under zero counts as zero. Labels without doc_id or grade are left out; of several for
     a document, and of equal texts, the worst counts. Without toxic examples no word has weight and nothing is found
     toxic. Other columns are ignored; rows that repeat change nothing; reruns agree.
     """
-    grade = F.greatest(F.lit(0), F.max("toxic")).cast("int")
+    grade = F.greatest(F.lit(0).cast("long"), F.max(F.col("toxic").cast("long")))
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(grade.alias("grade"))
     place, span = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 1 << 30
     share = min(1.0, 1.2 * max_labelled / max(marks.count(), 1))  # so that tasks do not each hand on max_labelled rows
@@ -106,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     texts = texts.groupBy(F.xxhash64("text").alias("same")).agg(F.first("text").alias("text"), F.max("grade").alias("grade"), F.min("doc_id").alias("doc_id"))
     texts = materialize(texts.withColumn("toxic", (F.col("grade") > 0).cast("int")), "labelled")
     bags = materialize(texts.select("doc_id", "same", "grade", "toxic", split("text").alias("words")), "bags")
-    total = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.max("grade"), F.lit(0)).alias("most")).first()
+    total = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n_toxic, n_clean = total["t"], total["n"] - total["t"]
     counts = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
@@ -120,11 +124,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     known = bags.select("doc_id", "same", "grade", keep.alias("words")).toPandas().sort_values(["doc_id", "same"], kind="stable")
     grades = known["grade"].to_numpy(np.int64)
     if not grades.any():
-        return OrdinalModel({}, np.zeros(0), np.array([50.0]))
+        return OrdinalModel({}, np.zeros(0), np.array([50.0]), np.array([0, 1]))
+    levels = np.unique(np.append(grades, 0))
+    if len(levels) > MAX_GRADES:
+        raise ValueError(f"{len(levels)} different grades, at most {MAX_GRADES}")
     lists = [[vocabulary[w] for w in ws] for ws in known["words"]]
     cols = np.array([c for x in lists for c in x], np.int64)
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64)
-    return OrdinalModel(vocabulary, *fit_ordinal(rows, cols, grades, len(words), total["most"] + 1))
+    return OrdinalModel(vocabulary, *fit_ordinal(rows, cols, np.searchsorted(levels, grades), len(words), len(levels)), levels)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -132,10 +139,10 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("toxic boolean, grade int, expected_severity double, p_clean double")
+    @F.pandas_udf("toxic boolean, grade long, expected_severity double, p_clean double")
     def run(texts: pd.Series) -> pd.DataFrame:
         p = shared.value.grade_probabilities(shared.value.scores(texts))
-        return pd.DataFrame({"toxic": p[:, 0] <= 1 - TOXIC_FROM, "grade": p.argmax(axis=1).astype("int32"), "expected_severity": p @ np.arange(p.shape[1]), "p_clean": p[:, 0]})
+        return pd.DataFrame({"toxic": p[:, 0] <= 1 - TOXIC_FROM, "grade": shared.value.levels[p.argmax(axis=1)], "expected_severity": p @ shared.value.levels, "p_clean": p[:, 0]})
 
     return docs.select("doc_id", run(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
 

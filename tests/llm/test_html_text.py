@@ -83,3 +83,33 @@ def test_hostile_pages_take_linear_time(page):
     began = time.process_time()
     h.parse(page)
     assert time.process_time() - began < 8
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<main><h1>Title</h1><p>Intro</p><article><p>Body</p></article></main>", "Title\nIntro\nBody"),
+        ('<div id="story"><h1>Real</h1><p>Real text</p></div><div class="cards"><article><h3>Teaser</h3></article></div>', "Real\nReal text"),
+        ('<article><section id="social"><h2>Social</h2><p>x</p></section></article>', "Social\nx"),
+        ('<article><p class="search">found</p></article>', "found"),
+        ('<article><p class="share">Market share rose</p></article>', "Market share rose"),
+        ('<article><p>b</p><div class="related">see also cases</div></article>', "b\nsee also cases"),
+        ('<article><p>b</p><div id="banner">Banner history</div></article>', "b\nBanner history"),
+        ('<article><section class="subscription-list">s</section><ul class="reply-list"><li>r</li></ul></article>', "s\nr"),
+        ('<div class="page search"><p>whole page text</p></div>', "whole page text"),
+        ("<article><p>One long article</p></article><p>x</p><article><p>Another long article</p></article>", "One long article\nAnother long article"),
+        ('<p>b</p><div class="comments">c</div>', "b"),
+    ],
+)
+def test_what_stands_beside_and_inside_articles(page, want):
+    assert h.main_text(page, set()) == want
+
+
+def test_class_names_inside_an_article_count_where_they_recur_on_the_host(spark):
+    page = lambda k, extra: f"<article><p>Text number {k} of this site</p>{extra}</article>"
+    rows = [(k, "http://a.org/x", page(k, f'<div class="related"><p>other page {k}</p></div>')) for k in range(12)]
+    rows += [(100 + k, "http://b.org/x", page(k, '<div class="related"><p>on related law</p></div>' if k == 3 else "")) for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in h.extract_text(pages).collect()}
+    assert all(got[k] == f"Text number {k} of this site" for k in range(12))
+    assert got[103] == "Text number 3 of this site\non related law"

@@ -108,3 +108,15 @@ def test_info_of_odd_bytes(spark):
 
 def test_empty(none):
     assert media.with_media(none).collect() == []
+
+
+def test_headers_cut_short_give_no_track():
+    whole = media.write_container(media.pad(b"x" * 100))
+    for kind in (b"mdhd", b"tkhd"):
+        at = whole.find(kind)
+        if at < 0:
+            continue
+        for keep in range(0, 24, 4):
+            short = whole[: at - 4] + struct.pack(">I", 8 + keep) + whole[at : at + 4 + keep]
+            media.read_container(short)
+            assert media.read_container(whole[: at - 4] + struct.pack(">I", 8) + whole[at : at + 4]).get("codec") in (None, "raw ")

@@ -85,3 +85,14 @@ def test_edges(spark, docs, rows, none):
     got = toxicity.score(docs, model).collect()
     assert len(got) == len(rows) and not any(r["toxic"] for r in got)
     assert toxicity.score(none, model).collect() == []
+
+
+def test_grades_far_apart_are_levels_of_their_own(spark, labelled):
+    docs = spark.createDataFrame([r[:2] for r in labelled], "doc_id long, text string")
+    most = 2**31 - 1
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2] * most) for r in labelled], "doc_id long, toxic long"))
+    assert model.levels.tolist() == [0, most] and len(model.thresholds) == 1
+    got = toxicity.score(docs, model).collect()
+    assert {r["grade"] for r in got} == {0, most} and all(0 <= r["expected_severity"] <= most for r in got)
+    with pytest.raises(ValueError, match="different grades"):
+        toxicity.fit(docs, spark.createDataFrame([(r[0], 1 + k) for k, r in enumerate(labelled)], "doc_id long, toxic long"))
