@@ -238,13 +238,13 @@ def asof_merge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = versions.withColumn("effective_to", F.least(F.date_add("effective_from", 1), F.date_sub(following, 1)))
     facts = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("key"), F.col("o_orderdate").cast("date").alias("day"))
     hit = asof_merge.as_of_merge(facts, versions, ["key"], "day")
-    return hit.select("o_orderkey", "key", F.col("version.effective_from").cast("string").alias("effective_from"), "version.first_order")
+    return hit.select("o_orderkey", "key", F.col("version.effective_from").cast("string").alias("effective_from"), F.coalesce("version.first_order", F.lit(-1)).cast("long").alias("first_order"))
 
 
 ASOF_MERGE_SQL = """
 WITH i AS (SELECT l_partkey % 3 AS key, CAST(l_shipdate AS DATE) AS a, min(l_orderkey) AS first_order FROM lineitem WHERE datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) % 5 <> 0 GROUP BY 1, 2),
 v AS (SELECT *, least(CAST(a + 1 AS DATE), CAST(lead(a) OVER (PARTITION BY key ORDER BY a) - 1 AS DATE)) AS b FROM i)
-SELECT o.o_orderkey, o.o_custkey % 4 AS key, CAST(v.a AS VARCHAR) AS effective_from, v.first_order
+SELECT o.o_orderkey, o.o_custkey % 4 AS key, CAST(v.a AS VARCHAR) AS effective_from, coalesce(v.first_order, -1) AS first_order
 FROM orders o LEFT JOIN v ON v.key = o.o_custkey % 4 AND CAST(o.o_orderdate AS DATE) BETWEEN v.a AND coalesce(v.b, DATE '9999-12-31')
 """
 
