@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from foralia.llm import line_dedup
 
@@ -75,5 +76,89 @@ def test_documents_that_come_later_meet_the_lines_of_earlier_ones(spark):
     line_dedup.LineRuns(spark, index="two_jobs").drop()
 
 
+def bytes_under(runs):
+    from pathlib import Path
+
+    return {str(p): p.stat().st_size for p in Path(runs.root.removeprefix("file://")).rglob("*.parquet")}
+
+
+def test_a_batch_writes_no_run_again(spark):
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    big = spark.range(60_000).select("id", F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"))
+    part = lambda low, high: big.where(f"id >= {low} AND id < {high}").select("h1", "h2", F.col("id").alias("owner"), F.lit(1).cast("long").alias("n_docs"))
+    runs.add(part(0, 50_000))
+    sizes = [sum(bytes_under(runs).values())]
+    before = bytes_under(runs)
+    for k in range(3):
+        runs.add(part(49_900 + 100 * k, 50_100 + 100 * k))
+        sizes.append(sum(bytes_under(runs).values()))
+    assert before.items() <= bytes_under(runs).items()
+    assert all(b - a < 0.05 * sizes[0] for a, b in zip(sizes, sizes[1:], strict=False))
+    assert runs.repeated(2).count() == 300
+    runs.drop()
+
+
+def state(spark, index):
+    runs = line_dedup.LineRuns(spark, fanout=2, index=index)
+    return {r["h1"]: (r["n_docs"], r["owner"]) for n in runs.names() for r in spark.table(n).collect()}
+
+
+@pytest.mark.parametrize("step", ["_write", "_rename", "_forget"])
+def test_a_batch_that_dies_counts_whole_or_not_at_all(spark, monkeypatch, step):
+    index = f"dies_at{step}"
+    for k in range(3):
+        line_dedup.LineRuns(spark, fanout=2, index=index).add(keys(spark, k))
+    before = state(spark, index)
+    runs = line_dedup.LineRuns(spark, fanout=2, index=index)
+
+    def fail(*args, **kwargs):
+        raise OSError("lost")
+
+    calls, write = [], runs._write
+
+    def second_write_fails(*args):
+        calls.append(1)
+        return fail() if len(calls) == 2 else write(*args)
+
+    with monkeypatch.context() as patch:
+        if step == "_write":
+            patch.setattr(runs, "_write", second_write_fails)
+        elif step == "_rename":
+            patch.setattr(line_dedup, "_rename", fail)
+        else:
+            patch.setattr(runs, "commit", lambda *a: (patch.setattr(runs, "_forget", fail), line_dedup.LineRuns.commit(runs, *a)))
+        with pytest.raises(OSError, match="lost"):
+            runs.add(keys(spark, 3))
+    after = state(spark, index)
+    whole = before | {h: (2 if h < 20 else 1, 3) for h in range(15, 25)}
+    assert after == (whole if step == "_forget" else before)
+    if after == before:
+        line_dedup.LineRuns(spark, fanout=2, index=index).add(keys(spark, 3))
+    assert state(spark, index) == whole
+    line_dedup.LineRuns(spark, index=index).drop()
+
+
+def test_another_session_with_other_partitions_finds_the_index(spark):
+    first = line_dedup.LineRuns(spark, fanout=2, index="found_by_path")
+    first.add(keys(spark, 0))
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "7")
+    for folder in first._folders():
+        spark.sql(f"DROP TABLE IF EXISTS {first._name(folder)}")
+    again = line_dedup.LineRuns(other, fanout=2, index="found_by_path")
+    assert again.buckets == first.buckets
+    again.add(keys(other, 1))
+    assert {r["h1"]: r["owner"] for r in again.repeated(2).collect()} == {h: 1 for h in range(5, 10)}
+    again.drop()
+
+
+def test_a_named_job_counts_once(spark):
+    line = "this shared line is longer than twenty characters"
+    docs = spark.createDataFrame([(k, line) for k in (1, 2)], "doc_id long, text string")
+    for _ in range(3):
+        assert [r["n_dropped"] for r in line_dedup.dedup_lines(docs, index="job_once", job="monday").collect()] == [0, 0]
+    line_dedup.LineRuns(spark, index="job_once").drop()
+
+
 def test_empty(none):
     assert line_dedup.dedup_lines(none).collect() == []
