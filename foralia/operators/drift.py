@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,6 +58,26 @@ def freshness(rows: DataFrame, day: str, ident: str, today: Column, max_age_days
     return newest.select(F.lit(name).alias("check"), F.col("m.day").alias("latest"), F.col("m.id").cast("string").alias("latest_id"), age.alias("age_days"), F.coalesce(age <= max_age_days, F.lit(False)).alias("ok"))
 
 
+def families_freshness(spark: SparkSession, families: dict[str, DataFrame | None], day: str, ident: str, today: Column, max_age_days: int, name: str) -> DataFrame:
+    """freshness of several families of texts as one check, plus `skipped`.
+
+    A family is None where it was never set up; with none set up the check is skipped and ok, as these texts are not required.
+    Families that are set up and hold no dates are not fresh. Of equal dates the first family's, then the smallest id as text
+    is named. Only each family's newest row meets the others.
+    """
+    newest = []
+    for k, rows in enumerate(families.values()):
+        if rows is not None:
+            best = F.min(F.struct((-F.unix_date(day)).alias("before"), F.lit(k).alias("family"), F.col(ident).cast("string").alias("id"), F.col(day).alias("day")))
+            newest.append(rows.where(F.col(day).isNotNull()).agg(best.alias("m")))
+    if not newest:
+        nothing = {"check": F.lit(name), "latest": F.lit(None).cast("date"), "latest_id": F.lit(None).cast("string"), "age_days": F.lit(None).cast("int"), "ok": F.lit(True), "skipped": F.lit(True)}
+        return spark.range(1).select(*(c.alias(n) for n, c in nothing.items()))
+    found = reduce(DataFrame.unionByName, newest).agg(F.min("m").alias("m"))
+    age = F.datediff(today, F.col("m.day"))
+    return found.select(F.lit(name).alias("check"), F.col("m.day").alias("latest"), F.col("m.id").alias("latest_id"), age.alias("age_days"), F.coalesce(age <= max_age_days, F.lit(False)).alias("ok"), F.lit(False).alias("skipped"))
+
+
 def all_fresh(checks: DataFrame) -> DataFrame:
     return checks.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"))
 
@@ -66,3 +88,15 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     parts = [F.sum(F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
     total = rows.select(digest.alias("d")).agg(F.concat_ws("-", F.count("*").cast("string"), *parts).alias("t"))
     return total.select(F.sha2("t", 256).alias("fingerprint"))
+
+
+def corpus_meta(rules: DataFrame, normas: DataFrame, columns: list[str]) -> DataFrame:
+    """One row about a catalogue: count, last_reviewed_at, normas_registered (some source's norm is known), fingerprint_sha256.
+
+    rules: last_reviewed_at date, sources array<struct<boe_id, ...>>; `columns` make up the fingerprint. No rules give a
+    count of 0, no day and false.
+    """
+    cited = rules.select(F.explode("sources.boe_id").alias("boe_id"))
+    known = cited.join(normas.select("boe_id"), "boe_id", "left_semi").agg((F.count("*") > 0).alias("known"))
+    about = rules.agg(F.count("*").alias("count"), F.max("last_reviewed_at").alias("last_reviewed_at"))
+    return about.select("*", known.scalar().alias("normas_registered"), fingerprint(rules, columns).scalar().alias("fingerprint_sha256"))

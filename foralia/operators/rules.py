@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from foralia.functions.facts import compare, fact_map, typed
 from foralia.functions.scales import capped, tiered_amount
 from foralia.operators.temporal import timelines
+from foralia.runtime import materialize
 
 #: A catalogue above this is refused rather than broadcast.
 MAX_RULES = 10_000
+#: Up to so many versions, counted once for each source that cites them, ride on the broadcast rules; more are joined.
+MAX_CITED_VERSIONS = 100_000
+#: Different facts that a catalogue may ask for.
+MAX_PATHS = 100_000
+#: States of a norm that stop a rule.
+STOPPING = ("derogada", "inconstitucional", "suspendida")
 
 RULE = """
 id string, name string, tax_year int, scope string, region string, category string,
@@ -38,7 +45,9 @@ def _paths(rules: DataFrame) -> list[str]:
         F.array("calculation.base_field", "calculation.cap_field"),
         F.transform(F.coalesce("calculation.tiers", F.expr("array()")), lambda t: t["alternate_when_field"]),
     )
-    found = rules.select(F.explode(F.array_compact(fields)).alias("path")).distinct().limit(100 * MAX_RULES).collect()
+    found = rules.select(F.explode(F.array_compact(fields)).alias("path")).distinct().limit(MAX_PATHS + 1).collect()
+    if len(found) > MAX_PATHS:
+        raise ValueError(f"the rules of a catalogue ask for at most {MAX_PATHS} different facts")
     return [r["path"] for r in found]
 
 
@@ -59,19 +68,47 @@ def amount(facts: Column) -> Column:
     )
 
 
-def _norm_block(normas: DataFrame, versions: DataFrame, pairs: DataFrame) -> DataFrame:
+def _stop_code(timeline: Column, day: Column) -> Column:
+    """Why a known norm with these spans stops a rule on `day`; empty where it does not."""
+    hit = F.filter(timeline, lambda v: (day >= v["effective_from"]) & (v["effective_to"].isNull() | (day <= v["effective_to"])))
+    return F.coalesce(F.try_element_at(hit, F.lit(1))["code"], F.lit("no_version"))
+
+
+def _cited(rules: DataFrame, normas: DataFrame, versions: DataFrame) -> DataFrame:
+    """(id, pos, timeline) of each source whose norm is known: spans with the state if it stops rules, else an empty code.
+
+    A norm without versions has no timeline.
+    """
+    code = lambda v: F.when(v["status"].isin(*STOPPING), v["status"]).otherwise(F.lit("")).alias("code")
+    span = lambda v: F.struct(v["effective_from"].alias("effective_from"), v["effective_to"].alias("effective_to"), code(v))
+    sources = rules.select("id", F.posexplode("sources").alias("pos", "source")).select("id", "pos", F.col("source.boe_id").alias("boe_id"))
+    time = timelines(versions.withColumnRenamed("norma_boe_id", "boe_id").join(sources.select("boe_id").distinct(), "boe_id", "left_semi"), ["boe_id"], "effective_from")
+    return sources.join(normas.select("boe_id").distinct(), "boe_id", "left_semi").join(time, "boe_id", "left").select("id", "pos", F.transform("timeline", span).alias("timeline"))
+
+
+def _norm_block(cited: DataFrame, pairs: DataFrame) -> DataFrame:
     """(profile_id, id, norm_block): the first source in order whose norm stops the rule on the profile's date."""
-    known = normas.select("boe_id").distinct().withColumn("known", F.lit(True))
-    time = timelines(versions, ["norma_boe_id"], "effective_from").withColumnRenamed("norma_boe_id", "boe_id")
-    asked = pairs.select("profile_id", "id", "day", F.posexplode("sources").alias("pos", "source")).select("profile_id", "id", "day", "pos", F.col("source.boe_id").alias("boe_id"))
-    told = asked.join(known.join(time, "boe_id", "left"), "boe_id")
-    day = F.col("day")
-    version = F.try_element_at(F.filter("timeline", lambda v: (day >= v["effective_from"]) & (v["effective_to"].isNull() | (day <= v["effective_to"]))), F.lit(1))
-    code = (
-        F.when(version.isNull(), F.lit("no_version"))
-        .when(version["status"].isin("derogada", "inconstitucional", "suspendida"), version["status"])
-    )
-    return told.withColumn("code", code).where(F.col("code").isNotNull()).groupBy("profile_id", "id").agg(F.min_by("code", "pos").alias("norm_block"))
+    told = pairs.join(cited, "id").withColumn("code", _stop_code(F.col("timeline"), F.col("day")))
+    return told.where("code <> ''").groupBy("profile_id", "id").agg(F.min_by("code", "pos").alias("norm_block"))
+
+
+def _pairs(prepared: DataFrame, rules: DataFrame, normas: DataFrame | None, versions: DataFrame | None) -> DataFrame:
+    """Every profile with every rule and `norm_block`, the reason why the first such norm it cites stops it.
+
+    The timelines of cited norms ride on the rules, so that pairs are never shuffled; where there are too many to broadcast,
+    pairs meet them in a join.
+    """
+    if normas is None:
+        return prepared.crossJoin(F.broadcast(rules)).withColumn("norm_block", F.lit(None).cast("string"))
+    cited = materialize(_cited(rules, normas, versions), "cited")
+    total = cited.agg(F.sum(F.greatest(F.size("timeline"), F.lit(1)))).first()[0] or 0
+    if total > MAX_CITED_VERSIONS:
+        blocks = _norm_block(cited, prepared.select("profile_id", "day").crossJoin(F.broadcast(rules.select("id"))))
+        return prepared.crossJoin(F.broadcast(rules)).join(blocks, ["profile_id", "id"], "left")
+    norms = cited.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "timeline"))).alias("norms"))
+    codes = F.filter(F.transform("norms", lambda n: _stop_code(n["timeline"], F.col("day"))), lambda c: c != "")
+    pairs = prepared.crossJoin(F.broadcast(rules.join(norms, "id", "left")))
+    return pairs.withColumn("norm_block", F.try_element_at(codes, F.lit(1))).drop("norms")
 
 
 def evaluate(profiles: DataFrame, rules: DataFrame, normas: DataFrame | None = None, versions: DataFrame | None = None) -> DataFrame:
@@ -84,12 +121,7 @@ def evaluate(profiles: DataFrame, rules: DataFrame, normas: DataFrame | None = N
     if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
         raise ValueError(f"a rule catalogue has at most {MAX_RULES} rules")
     prepared = profiles.select("profile_id", F.col("tax_year").alias("p_year"), F.col("region").alias("p_region"), effective_day(profiles).alias("day"), "documents", fact_map(F.col("facts"), _paths(rules)).alias("facts"))
-    pairs = prepared.crossJoin(F.broadcast(rules))
-    if normas is not None:
-        blocks = _norm_block(normas, versions, prepared.select("profile_id", "day").crossJoin(F.broadcast(rules.select("id", "sources"))))
-        pairs = pairs.join(blocks, ["profile_id", "id"], "left")
-    else:
-        pairs = pairs.withColumn("norm_block", F.lit(None).cast("string"))
+    pairs = _pairs(prepared, rules, normas, versions)
     fact = lambda field: F.try_element_at(F.col("facts"), field)
     asked = F.coalesce("requirements", F.expr("array()").cast("array<struct<field:string,operator:string,value:variant>>"))
     absent = F.transform(F.filter(asked, lambda r: ~F.coalesce(fact(r["field"])["found"], F.lit(False))), lambda r: r["field"])

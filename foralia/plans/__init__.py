@@ -1,8 +1,8 @@
 """Registered queries: each module states its queries and their DuckDB equivalents."""
 
-from foralia.plans import grounded, law, retrieval, sinks, tax
+from foralia.plans import evaluation, grounded, law, retrieval, sinks, tax
 
-MODULES = (tax, retrieval, law, grounded, sinks)
+MODULES = (tax, retrieval, law, grounded, sinks, evaluation)
 
 
 def queries() -> dict:
