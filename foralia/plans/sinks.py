@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foralia.runtime import materialize, scratch_dir, table
-from foralia.sources import partitioned
+from foralia.sources import partitioned, repositories
 
 
 def _by_day(spark, sf_dir: str) -> DataFrame:
@@ -64,7 +64,24 @@ SELECT * FROM (SELECT 'all' AS asked, * FROM e ORDER BY day DESC, event_id DESC
 UNION ALL SELECT * FROM (SELECT 'user 1' AS asked, * FROM e WHERE user_id = 1 ORDER BY day DESC, event_id DESC LIMIT 50)
 """
 
+def entity_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as saves of a session for each user and type, in three batches out of order, one of them sent twice."""
+    path, keys = f"{scratch_dir(spark)}/sessions-{uuid.uuid4().hex}", ["user_id", "event_type"]
+    saves = table(spark, sf_dir, "events").select(*keys, "ts", "event_id", "props")
+    for k in (2, 0, 2, 1):
+        repositories.save(path, saves.where(F.coalesce(F.col("event_id") % 3, F.lit(0)) == k), keys, "ts", 8)
+    stored = repositories.find(spark, path, saves, keys, 8)
+    written = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return stored.select(*keys, written("created_at"), written("updated_at"), "event_id", "props")
+
+
+SAVES_SQL = """
+WITH w AS (SELECT *, min(ts) OVER (PARTITION BY user_id, event_type) AS a, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST, props DESC NULLS LAST) AS k FROM events)
+SELECT user_id, event_type, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS updated_at, event_id, props FROM w WHERE k = 1
+"""
+
 QUERIES = {
+    "entity_saves": (entity_saves, SAVES_SQL),
     "partitioned_upsert": (partitioned_upsert, PARTITIONED_SQL),
     "audit_log": (audit_log, AUDIT_SQL),
 }
