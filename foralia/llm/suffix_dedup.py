@@ -35,9 +35,10 @@ PLACE_BITS = 24
 BEFORE = (LENGTH - PREFIX) // 2
 #: Two prefixes of twice PREFIX bytes that start so far apart cover LENGTH bytes.
 OFFSET = LENGTH - 2 * PREFIX
-#: One text in HOT_SAMPLE is read ahead for homes that HOT_SHARE of its runs or more have (100 homes at most): their rows
-#: are aggregated and joined, where Spark can split them, instead of sorted in one task. Results do not depend on it.
-HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 64, 0.01, 64
+#: One text in HOT_SAMPLE is read ahead for homes that HOT_SHARE of its runs have, or HOT_MOST of them whatever their share, so
+#: that no task sorts more than some 6 million rows of a home at any size: their rows are aggregated and joined, where Spark can
+#: split them, instead of sorted in one task. Results do not depend on it.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST, HOT_MOST = 64, 0.01, 64, 100_000
 NO_ID = (1 << 63) - 1
 
 
@@ -157,7 +158,7 @@ def hot_homes(docs: DataFrame) -> list[int]:
     counts = anchors(docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0)).groupBy("home").agg(F.count("*").alias("n"))
     counts = materialize(counts, "homes")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = [r["home"] for r in counts.where(F.col("n") >= max(HOT_LEAST, HOT_SHARE * total)).select("home").collect()]
+    hot = [r["home"] for r in counts.where(F.col("n") >= min(HOT_MOST, max(HOT_LEAST, HOT_SHARE * total))).select("home").collect()]
     drop_scratch(counts)
     return hot
 

@@ -72,3 +72,16 @@ def test_a_filler_in_every_document_is_hot(spark, monkeypatch):
     monkeypatch.setattr(sd, "HOT_SAMPLE", 1)
     assert sd.hot_homes(sd._keyed(df))
     assert found() == brute(rows)
+
+
+def test_a_home_with_many_rows_is_hot_whatever_its_share(spark, monkeypatch):
+    passage = "a passage that a few of very many documents share, and which is long enough to be found as a repeat by its bytes; "
+    texts = [f"{k} " * 9 + (passage if k % 4 == 0 else "") + "".join(chr(97 + (k * j * j + j) % 26) for j in range(300)) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(sd, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(sd, "HOT_SHARE", 0.5)
+    usual = sorted(map(tuple, sd.remove_repeats(df).collect()))
+    assert not sd.hot_homes(sd._keyed(df))
+    monkeypatch.setattr(sd, "HOT_MOST", 5)
+    assert sd.hot_homes(sd._keyed(df))
+    assert sorted(map(tuple, sd.remove_repeats(df).collect())) == usual and any(r[2] for r in usual)
