@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
 ECLI = r"(?i)^\s*(ECLI:ES:[A-Z]+[A-Z0-9]*:\d{4}:[A-Z0-9.]+?)(?:[:.][A-Z0-9]+)?\s*$"
-BINDING = r"(?i)^\s*V\s*0*(\d{1,5})\s*-\s*(\d{4}|\d{2})\s*$"
-CLAIM = r"^\s*(\d{1,2})/(\d{1,7})/(\d{4}|\d{2})(?:/(\d{1,3}))?(?:/(\d{1,3}))?\s*$"
-SHORT_CLAIM = r"(?i)^\s*R\.?\s*G\.?[.:/\s]+(\d{1,7})\s*/\s*(\d{4}|\d{2})\s*$"
+# Numbers of any length that a long holds: registries outgrow the digits they began with.
+BINDING = r"(?i)^\s*V\s*0*(\d{1,18})\s*-\s*(\d{4}|\d{2})\s*$"
+CLAIM = r"^\s*(\d{1,2})/(\d{1,18})/(\d{4}|\d{2})(?:/(\d{1,3}))?(?:/(\d{1,3}))?\s*$"
+SHORT_CLAIM = r"(?i)^\s*R\.?\s*G\.?[.:/\s]+(\d{1,18})\s*/\s*(\d{4}|\d{2})\s*$"
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:

@@ -28,6 +28,14 @@ def test_scalars(spark, function, raw, want):
     assert one(spark, raw, function) == want
 
 
+@pytest.mark.parametrize(("function", "raw", "want"), [
+    (ids.ruling_number, "V123456-24", "V123456-24"), (ids.ruling_number, "v 000123456789 - 2024", "V123456789-24"), (ids.ruling_number, "V-24", None),
+    (ids.claim_number, "R.G. 12345678/23", "00/12345678/2023"), (ids.claim_number, "28/12345678/2024", "28/12345678/2024"),
+])
+def test_numbers_of_any_length(spark, function, raw, want):
+    assert one(spark, raw, function) == want
+
+
 def test_article_key(spark):
     rows = [("art. 81 bis 2", ("81", "bis")), ("Artículo 7", ("7", None)), ("a57", ("57", None)), ("boe:da-4", None)]
     df = spark.createDataFrame([(a,) for a, _ in rows], "a string").select(ids.article_key(F.col("a")).alias("k"))
