@@ -52,15 +52,18 @@ def word_in(text: Column, word: str) -> Column:
     return text.rlike(rf"(?U)\b\Q{word}\E\b")
 
 
-@F.pandas_udf(T.StringType())
-def _decimal_entities(texts: pd.Series) -> pd.Series:
-    return texts.str.replace(r"&#(\d{1,7});", lambda m: chr(int(m[1])) if int(m[1]) < 0x110000 else m[0], regex=True)
+def _decimal_entities(text: Column) -> Column:
+    """`&#N;` as the character N; numbers that are no character stay."""
+    number = lambda part: F.regexp_extract(part, r"^&#(\d{1,7});", 1).cast("int")
+    character = lambda n: F.decode(F.unhex(F.format_string("%08X", n)), "UTF-32")
+    valid = lambda n: (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    decoded = lambda part: F.when(part.rlike(r"^&#\d{1,7};"), F.when(valid(number(part)), F.concat(character(number(part)), F.regexp_replace(part, r"^&#\d{1,7};", ""))).otherwise(part)).otherwise(part)
+    return F.array_join(F.transform(F.split(text, r"(?=&#\d{1,7};)"), decoded), "")
 
 
 def decode_entities(text: Column) -> Column:
-    """Named entities of ENTITIES and decimal ones; others stay. Only texts with decimal ones leave the JVM."""
-    decimal = text.rlike(r"&#\d{1,7};")
-    out = F.coalesce(F.when(decimal, _decimal_entities(F.when(decimal, text))), text)
+    """Named entities of ENTITIES and decimal ones; others stay."""
+    out = once(text, lambda t: F.when(t.rlike(r"&#\d{1,7};"), _decimal_entities(t)).otherwise(t))
     for name, value in ENTITIES.items():
         out = F.regexp_replace(out, f"(?i)&{name};", value.replace("$", r"\$"))
     return out
@@ -92,9 +95,12 @@ def first_line(text: Column, min_chars: int = 1) -> Column:
 
 def max_chars(text: Column, limit: int) -> Column:
     """At most `limit` characters, cut at the last space, with a mark of the cut."""
-    head = F.left(text, F.lit(limit))
-    cut = F.regexp_extract(head, r"(?s)^(.+) ", 1)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.when(cut == "", head).otherwise(cut), F.lit(" […]")))
+    def cut(whole: Column) -> Column:
+        head = F.left(whole, F.lit(limit))
+        words = F.regexp_extract(head, r"(?s)^(.+) ", 1)
+        return F.when(F.length(whole) <= limit, whole).otherwise(F.concat(F.when(words == "", head).otherwise(words), F.lit(" […]")))
+
+    return once(text, cut)
 
 
 def header_fields(text: Column, labels: dict[str, str], lines: int = 80) -> Column:
@@ -107,9 +113,10 @@ def header_fields(text: Column, labels: dict[str, str], lines: int = 80) -> Colu
     known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
     folded = lambda x: collapse(F.regexp_replace(fold_accents(F.regexp_extract(x, pattern, 1)), "[.,]", " "))
     entry = lambda x: F.struct(F.try_element_at(known, folded(x)).alias("key"), F.regexp_extract(x, pattern, 2).alias("value"))
-    found = F.filter(F.transform(first, entry), lambda e: e["key"].isNotNull())
-    latest = F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(latest)
+    every = F.filter(F.transform(F.filter(first, lambda x: F.contains(x, F.lit(":"))), entry), lambda e: e["key"].isNotNull())
+    # A lambda that names the entries themselves would read all lines again for every entry.
+    latest = lambda found: F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(once(every, latest))
 
 
 def split_sections(text: Column, headings: dict[str, str]) -> Column:
@@ -119,30 +126,30 @@ def split_sections(text: Column, headings: dict[str, str]) -> Column:
         marked = F.regexp_replace(marked, rf"(?imu)^[ \t]*(?={pattern})", f"\u0001{name}\u0002")
     parts = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
     entries = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\u0002", 1).alias("key"), F.btrim(F.substring_index(p, "\u0002", -1), F.lit(" \t\r\n")).alias("value")))
-    first = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i), lambda before: before["key"] == e["key"]) | (i == 0))
-    return F.map_from_entries(first)
+    first = lambda found: F.filter(found, lambda e, i: ~F.exists(F.slice(found, 1, i), lambda before: before["key"] == e["key"]) | (i == 0))
+    return F.map_from_entries(once(entries, first))
 
 
 def last_with_marker(parts: Column, markers: str, min_chars: int = 50) -> Column:
     """The last paragraph that matches `markers`, else the last one over `min_chars`, else the one before it."""
-    hit = F.try_element_at(F.filter(parts, lambda p: p.rlike(markers)), F.lit(-1))
-    long = lambda at: F.filter(F.array(F.try_element_at(parts, F.lit(at))), lambda p: F.length(p) > min_chars)
-    return F.coalesce(hit, F.try_element_at(long(-1), F.lit(1)), F.try_element_at(long(-2), F.lit(1)))
+    hit = lambda ps: F.try_element_at(F.filter(ps, lambda p: p.rlike(markers)), F.lit(-1))
+    long = lambda ps, at: F.filter(F.array(F.try_element_at(ps, F.lit(at))), lambda p: F.length(p) > min_chars)
+    return once(parts, lambda ps: F.coalesce(hit(ps), F.try_element_at(long(ps, -1), F.lit(1)), F.try_element_at(long(ps, -2), F.lit(1))))
 
 
 def first_by_marker(parts: Column, markers: list[str]) -> Column:
     """The first paragraph with the first marker that any paragraph has."""
-    def first(marker: str) -> Column:
-        return F.try_element_at(F.filter(parts, lambda p: p.rlike(marker)), F.lit(1))
+    def first(ps: Column, marker: str) -> Column:
+        return F.try_element_at(F.filter(ps, lambda p: p.rlike(marker)), F.lit(1))
 
-    return F.coalesce(*map(first, markers))
+    return once(parts, lambda ps: F.coalesce(*(first(ps, m) for m in markers)))
 
 
 def dedupe_by(values: Column, key) -> Column:
     """Values whose key has not come before, in order."""
-    empty = F.struct(F.slice(values, 1, 0).alias("kept"), F.slice(F.transform(values, key), 1, 0).alias("seen"))
+    empty = lambda vs: F.struct(F.slice(vs, 1, 0).alias("kept"), F.slice(F.transform(vs, key), 1, 0).alias("seen"))
     step = lambda acc, v: F.when(F.array_contains(acc["seen"], key(v)), acc).otherwise(F.struct(F.array_append(acc["kept"], v).alias("kept"), F.array_append(acc["seen"], key(v)).alias("seen")))
-    return F.aggregate(values, empty, step, lambda acc: acc["kept"])
+    return once(values, lambda vs: F.aggregate(vs, empty(vs), step, lambda acc: acc["kept"]))
 
 
 def subject_key(text: Column) -> Column:

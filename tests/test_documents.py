@@ -36,6 +36,28 @@ def test_numbers_of_any_length(spark, function, raw, want):
     assert one(spark, raw, function) == want
 
 
+def test_parsed_values_are_read_once(spark):
+    """Lambdas that name a parsed value do not parse it again: a plan's text holds each reading once."""
+    df = spark.createDataFrame([("Asunto: uno\nOtro\nAsunto: dos",)], "x string")
+
+    def readings(expression, pattern):
+        out = df.select(expression(F.col("x")).alias("r"))
+        return out._jdf.queryExecution().analyzed().toString().count(pattern)
+
+    assert readings(lambda x: tx.header_fields(x, {"asunto": "asunto"}), "split(") == 1
+    assert readings(lambda x: tx.split_sections(x, {"a": "Asunto"}), "split(") == 1
+    assert readings(lambda x: tx.last_with_marker(tx.paragraphs(x), "z"), "split(") == 1
+    assert readings(lambda x: tx.decode_entities(F.upper(x)), "upper(") == 1
+    assert readings(lambda x: rulings.detect_tax(F.lit(""), F.upper(x)), "upper(") == 1
+    assert one(spark, "Asunto: uno\nOtro\nAsunto: dos", lambda x: tx.header_fields(x, {"asunto": "asunto"})) == {"asunto": "dos"}
+    assert one(spark, "&#8364;&#128512;x&#0;&#55296;&#1114112;&#12", tx.decode_entities) == "€😀x\0&#55296;&#1114112;&#12"
+
+
+def test_small_files_are_parsed_by_all_cores(spark):
+    rows = spark.createDataFrame([(1, "<p>x</p>")], "id int, html string").coalesce(1)
+    assert rulings.parse(rows, {"asunto": "asunto"}, {"a": "Asunto"}).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_article_key(spark):
     rows = [("art. 81 bis 2", ("81", "bis")), ("Artículo 7", ("7", None)), ("a57", ("57", None)), ("boe:da-4", None)]
     df = spark.createDataFrame([(a,) for a, _ in rows], "a string").select(ids.article_key(F.col("a")).alias("k"))
