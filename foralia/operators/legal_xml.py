@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foralia.functions.text import collapse, decode_entities, once
+from foralia.runtime import spread
 
 # The class of the editor's notes, and the short names by which they cite a norm.
 FOOTNOTE = r"nota_pie(?:_\d+)?"
@@ -18,7 +19,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def blocks(texts: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
     """(keys, pos, block_id, kind, title, body) of every <bloque>."""
-    found = texts.select(*keys, F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?s)<bloque\b[^>]*>.*?</bloque>"), F.lit(0))).alias("pos", "b"))
+    found = spread(texts, 4).select(*keys, F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?s)<bloque\b[^>]*>.*?</bloque>"), F.lit(0))).alias("pos", "b"))
     head = F.regexp_extract("b", r"^<bloque\b[^>]*>", 0)
     return found.select(*keys, "pos", _attribute(head, "id").alias("block_id"), _attribute(head, "tipo").alias("kind"), _attribute(head, "titulo").alias("title"), F.regexp_extract("b", r"(?s)^<bloque\b[^>]*>(.*)</bloque>$", 1).alias("body"))
 
@@ -54,8 +55,9 @@ def article_versions(texts: DataFrame, keys: list[str], xml: str = "xml") -> Dat
     day = lambda tag, name: F.try_to_timestamp(_attribute(tag, name), F.lit("yyyyMMdd")).cast("date")
     every = blocks(texts, keys, xml).where("kind = 'precepto'").select(*keys, "block_id", F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<version\b[^>]*>.*?</version>"), F.lit(0))).alias("v"))
     head = F.regexp_extract("v", r"^<version\b[^>]*>", 0)
-    own = every.select(*keys, F.col("block_id").alias("article_id"), day(head, "fecha_vigencia").alias("effective_from"), day(head, "fecha_vigencia_fin").alias("stated_end"), version_text(F.col("v")).alias("text"), modified_by(F.col("v")).alias("modified_by"))
-    own = own.where("effective_from is not null and text <> ''")
+    own = F.struct(day(head, "fecha_vigencia").alias("effective_from"), day(head, "fecha_vigencia_fin").alias("stated_end"), version_text(F.col("v")).alias("text"), modified_by(F.col("v")).alias("modified_by"))
+    # Exploded, or the filter on what was read is pushed below the reading and repeats it.
+    own = every.select(*keys, F.col("block_id").alias("article_id"), F.explode(F.array(own)).alias("r")).select(*keys, "article_id", "r.*").where("effective_from is not null and text <> ''")
     following = F.lead("effective_from").over(Window.partitionBy(*keys, "article_id").orderBy("effective_from"))
     return own.withColumn("effective_to", F.coalesce("stated_end", F.date_sub(following, 1))).drop("stated_end").withColumn("text_hash", F.sha2("text", 256))
 

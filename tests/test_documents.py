@@ -58,6 +58,14 @@ def test_small_files_are_parsed_by_all_cores(spark):
     assert rulings.parse(rows, {"asunto": "asunto"}, {"a": "Asunto"}).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
 
 
+def test_filters_do_not_repeat_the_reading_of_versions(spark):
+    xml = '<bloque id="a1" tipo="precepto"><version fecha_vigencia="20100101"><p>Uno &#8364;</p></version><version fecha_vigencia="x"><p>Dos</p></version><version fecha_vigencia="20200101"><p> </p></version></bloque>'
+    found = legal_xml.article_versions(spark.createDataFrame([(1, xml)], "k int, xml string"), ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</p>, 0") == 1 and "Python" not in plan
+    assert [(r["effective_from"], r["text"]) for r in found.collect()] == [(date(2010, 1, 1), "Uno €")]
+
+
 def test_article_key(spark):
     rows = [("art. 81 bis 2", ("81", "bis")), ("Artículo 7", ("7", None)), ("a57", ("57", None)), ("boe:da-4", None)]
     df = spark.createDataFrame([(a,) for a, _ in rows], "a string").select(ids.article_key(F.col("a")).alias("k"))
