@@ -66,6 +66,23 @@ def test_filters_do_not_repeat_the_reading_of_versions(spark):
     assert [(r["effective_from"], r["text"]) for r in found.collect()] == [(date(2010, 1, 1), "Uno €")]
 
 
+def test_small_catalogues_do_not_shuffle_citations(spark):
+    """All citations of a law would meet in one task; and answers are searched once for each of verify and ground."""
+    texts = spark.createDataFrame([(1, "art. 7 de la LIRPF"), (2, "nada"), (3, "BOE-A-2006-1")], "id int, text string")
+    norms = spark.createDataFrame([("BOE-A-2006-20764",)], "boe_id string")
+    versions = spark.createDataFrame([("BOE-A-2006-20764", date(2007, 1, 1), None, "vigente")], "norma_boe_id string, effective_from date, effective_to date, status string")
+    pins = citations.documented(spark.createDataFrame([("BOE-A-2006-20764", "art. 7")], "boe_id string, article string"))
+    issues = citations.verify(texts, "id", F.lit(date(2024, 1, 1)), norms, versions, pins, this_year=2024)
+    plan = issues._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("ArrowEvalPython")[0].count("BroadcastHashJoin") == 2
+    assert {(r["id"], r["verdict"]) for r in citations.verdicts(issues, "id", texts).collect()} == {(1, "safe"), (2, "safe"), (3, "block")}
+    contexts = spark.createDataFrame([(1, ["la lirpf, art. 7 "]), (3, ["x"])], "id int, bodies array<string>")
+    grounded = citations.ground(texts, contexts, "id", text="text")
+    found = citations.grounding(issues, "id", spark.createDataFrame([(1, "c"), (4, "d")], "id int, chunk_id string"), grounded)
+    assert found._jdf.queryExecution().executedPlan().toString().count("search(") == 2
+    assert {(r["id"], r["verdict"], *r["problems"]) for r in found.collect()} == {(1, "safe"), (3, "block", "BLOCKED_NOT_IN_CONTEXT 0"), (4, "safe")}
+
+
 def test_article_key(spark):
     rows = [("art. 81 bis 2", ("81", "bis")), ("Artículo 7", ("7", None)), ("a57", ("57", None)), ("boe:da-4", None)]
     df = spark.createDataFrame([(a,) for a, _ in rows], "a string").select(ids.article_key(F.col("a")).alias("k"))
