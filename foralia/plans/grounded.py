@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foralia.operators import citations, context, corpus, legal_chunks, rulings, temporal
-from foralia.runtime import table
+from foralia.runtime import parts_to_fold, table
 
 
 def law_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +152,12 @@ SELECT e.k AS answer_id, CASE level WHEN 2 THEN 'block' WHEN 1 THEN 'warn' ELSE
 
 def applicable_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rules that name their lines' suppliers as norms; nations stand for the versions' first day."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("B"), F.col("l_suppkey").cast("string")).alias("boe_id")))).alias("sources"))
-    rules = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day")), "l_orderkey")
+    mention = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("B"), F.col("l_suppkey").cast("string")).alias("boe_id"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", mention.alias("mention"))
+    parts = parts_to_fold(lines)
+    folded = lines.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("mention")).alias("sources"))
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day"))
+    rules = folded.join(days.repartition(parts, "l_orderkey"), "l_orderkey")
     start = F.date_add(F.lit("1993-01-01").cast("date"), (F.col("s_nationkey") * 60).cast("int"))
     versions = table(spark, sf_dir, "supplier").select(F.concat(F.lit("B"), F.col("s_suppkey").cast("string")).alias("norma_boe_id"), start.alias("effective_from"), F.date_add(start, 900).alias("effective_to"))
     found = temporal.applicable_versions(rules, versions, "day", "l_orderkey")

@@ -103,3 +103,11 @@ def test_retrieve(spark):
     for wrong in ({"top": 0}, {"top": True}, {"families": []}, {"families": ["x"]}, {"tax": " "}):
         with pytest.raises(ValueError):
             context.retrieve(chunks, queries, **wrong)
+
+
+def test_applicable_versions_deals_rows_by_input_not_by_compressed_bytes(spark):
+    from foralia import plans
+    from foralia.runtime import FOLD_PARTS
+
+    found = plans.queries()["applicable_versions"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= FOLD_PARTS
