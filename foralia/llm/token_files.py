@@ -49,6 +49,8 @@ SKIPPABLE, SEEK_TABLE, SEEK_FOOTER, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8
 BATCH_BYTES = 8 << 20
 #: Entries of a worker's caches; the later half goes when one is full, as frequent words come early. A bound on memory only.
 CACHE_WORDS = 500_000
+#: Marks that often end a word; neither letters, numbers nor white space, and no apostrophe, which may begin a part of its own.
+MARKS = ".,;:!?"
 
 
 class FrameWriter:
@@ -323,15 +325,20 @@ class ByteEncoder:
         self.between = re.compile(r"(?<=\S) (?=\S)").split
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in set(printable))
-        self.shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.shown = "".join(shown[b] for b in range(256))
+        self.pieces, self.pack = self.tokenizer.model.tokenize, {2: "<%dH", 4: "<%dI"}[self.width]
         self.words, self.parts = _Memo(self._regular), _Memo(self._part)
 
     def _part(self, part: str) -> bytes:
-        shown = "".join(map(self.shown.__getitem__, part.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+        ids = [t.id for t in self.pieces(part.encode().decode("latin-1").translate(self.shown))]
+        return struct.pack(self.pack % len(ids), *ids)
 
     def _regular(self, word: str) -> bytes:
-        """Ids of `word` with the space before it."""
+        """Ids of `word` with the space before it; letters, and marks after them, are two parts that need no cutting."""
+        stem = word.rstrip(MARKS)
+        if stem.isalpha() and (stem.isascii() or self.latin(stem)):
+            return self.parts[" " + stem] + self.parts[word[len(stem) :]] if len(stem) < len(word) else self.parts[" " + stem]
         if not word or word[0].isspace() or word[-1].isspace() or not word.isprintable() and re.search("[\x1c-\x1f]", word):
             raise _Irregular
         return self._run(" " + word)

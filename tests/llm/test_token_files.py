@@ -31,6 +31,14 @@ def test_encoder_equals_the_tokenizer(whole):
         assert encoder.encode(text) + b"\0\0" == whole(text).astype("<u2").tobytes(), repr(text)
 
 
+def test_letters_with_marks_after_them_are_not_cut(whole):
+    encoder = tf.ByteEncoder(PATH)
+    text = "first " + " ".join(stem + marks for stem in ("word", "Ñandú", "İß", "ªº", "don") for marks in ("", ".", ",", "?!", "...", ";:"))
+    encoder._run("first")
+    encoder.cut = lambda run: pytest.fail(f"cut: {run}") if run != "first" else ["first"]
+    assert encoder.encode(text) + b"\0\0" == whole(text).astype("<u2").tobytes()
+
+
 def test_a_full_cache_changes_nothing(whole, monkeypatch):
     monkeypatch.setattr(tf, "CACHE_WORDS", 4)
     encoder = tf.ByteEncoder(PATH)
