@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foralia.llm import line_dedup, mixing, packing, quality, simhash
-from foralia.runtime import materialize, table
+from foralia.runtime import drop_scratch, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,7 +60,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        read, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{name}")
+            if k:
+                drop_scratch(read)
     return docs

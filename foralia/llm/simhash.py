@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,20 +208,37 @@ def rare_shingles(classes: DataFrame, similarity: float = SIMILARITY) -> DataFra
     return chosen.select("shingle", "cls", "next_1", "next_2")
 
 
+def _ring(k: Column) -> Column:
+    return F.element_at("words", (F.pmod(k, F.lit(PLANES)) + 1).cast("int"))
+
+
 def _members(classes: DataFrame, similarity: float) -> DataFrame:
-    """(key, cls, next_1, next_2): a row per segment of a long text and per rare shingle of a short one, with the planes that follow in the ring."""
-    ring = lambda k: F.element_at("words", (k % PLANES + 1).cast("int"))
+    """(key, cls): a row per segment of a long text and per rare shingle of a short one."""
     at, offset = F.floor(F.col("segment") * SEGMENT_BITS / BITS), F.col("segment") * SEGMENT_BITS % BITS
     spread = classes.where(F.col("n") > FEW).select("cls", "words", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("segment"))
-    spread = spread.select("cls", "segment", ring(at).alias("w"), ring(at + 1).alias("next_1"), ring(at + 2).alias("next_2"), offset.alias("o"))
+    spread = spread.select("cls", "segment", _ring(at).alias("w"), _ring(at + 1).alias("after"), offset.alias("o"))
     inside = F.expr(f"shiftrightunsigned(w, {BITS - SEGMENT_BITS} - o)")
-    across = F.expr(f"shiftleft(w, o - {BITS - SEGMENT_BITS}) | shiftrightunsigned(next_1, {2 * BITS - SEGMENT_BITS} - o)")
+    across = F.expr(f"shiftleft(w, o - {BITS - SEGMENT_BITS}) | shiftrightunsigned(after, {2 * BITS - SEGMENT_BITS} - o)")
     value = F.when(F.col("o") <= BITS - SEGMENT_BITS, inside).otherwise(across).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
-    long = spread.select(F.shiftleft(F.col("segment").cast("long"), SEGMENT_BITS).bitwiseOR(value).alias("key"), "cls", "next_1", "next_2")
-    short = rare_shingles(classes, similarity).select(F.col("shingle").bitwiseOR(F.lit(-(1 << 63))).alias("key"), "cls", "next_1", "next_2")
+    long = spread.select(F.shiftleft(F.col("segment").cast("long"), SEGMENT_BITS).bitwiseOR(value).alias("key"), "cls")
+    short = rare_shingles(classes, similarity).select(F.col("shingle").bitwiseOR(F.lit(-(1 << 63))).alias("key"), "cls")
     return long.unionByName(short)
 
 
+def _met_keys(classes: DataFrame, similarity: float) -> DataFrame:
+    """(key, cls, next_1, next_2) of the members whose key another one has, with the planes that follow in the ring.
+
+    All members are shuffled once and as two numbers, whatever the share that meets; the planes are looked up for that share.
+    """
+    n = F.count("*").over(Window.partitionBy("key"))
+    met = materialize(_members(classes, similarity).withColumn("n", n).where("n > 1").select("key", "cls"), "shared")
+    at = F.floor(F.shiftright("key", SEGMENT_BITS) * SEGMENT_BITS / BITS)
+    following = [F.when(F.col("key") < 0, F.element_at("words", k)).otherwise(_ring(at + k)).alias(f"next_{k}") for k in (1, 2)]
+    near = materialize(met.join(classes.select("cls", "words"), "cls").select("key", "cls", *following), "near")
+    drop_scratch(met)
+    return near
+
+
 def _viable(left: Callable[[int], Column], right: Callable[[int], Column]) -> Column:
     """Whether both chains after the place where two members meet stay within their budgets."""
     apart = [F.bit_count(left(k).bitwiseXOR(right(k))) for k in (1, 2)]
@@ -285,13 +302,12 @@ def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, similarity: float =
     group of copies costs a row for each, not for each pair; then all members of groups that are still different meet.
     Texts without words are one group; other edge cases are those of near_duplicates.
     """
-    rows = materialize(signatures(docs, width, similarity), "signatures")
-    named = rows.withColumn("cls", F.xxhash64("words", "n"))
-    classes = named.groupBy("cls").agg(F.first("words").alias("words"), F.first("few").alias("few"), F.first("n").alias("n"), F.min("mark").alias("mark"), F.min("doc_id").alias("first"))
+    rows = materialize(signatures(docs, width, similarity).withColumn("cls", F.xxhash64("words", "n")), "signatures")
+    classes = rows.groupBy("cls").agg(F.first("words").alias("words"), F.first("few").alias("few"), F.first("n").alias("n"), F.min("mark").alias("mark"), F.min("doc_id").alias("first"))
     classes = materialize(classes, "classes")
-    members = _members(classes, similarity)
-    shared = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    near = materialize(members.join(shared, "key"), "near")
+    named = materialize(rows.select("doc_id", "mark", "cls"), "named")
+    drop_scratch(rows)
+    near = _met_keys(classes, similarity)
     lead = near.groupBy("key").agg(F.min(F.struct("cls", "next_1", "next_2")).alias("lead"))
     crowded = materialize(near.join(lead, "key"), "crowded")
     drop_scratch(near)
@@ -304,7 +320,10 @@ def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, similarity: float =
     least = linked.join(classes, linked["node"] == classes["cls"]).groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(least, "root").select(F.col("node").alias("cls"), "component_id")
     whole = classes.join(moved, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))
-    return named.join(whole, "cls").select("doc_id", "mark", "component_id")
+    found = materialize(named.join(whole, "cls").select("doc_id", "mark", "component_id"), "grouped")
+    for scratch in (classes, named, links, groups, more, linked):
+        drop_scratch(scratch)
+    return found
 
 
 def keep_one(docs: DataFrame, width: int = WIDE_WIDTH, similarity: float = SIMILARITY) -> DataFrame:

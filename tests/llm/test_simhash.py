@@ -1,3 +1,4 @@
+import os
 import random
 
 import xxhash
@@ -174,3 +175,13 @@ def test_large_ids_and_nulls_survive(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in out) == [(str(big), str(big)), (str(big + 2), str(big)), ("None", "None")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == [str(big), "None"]
+
+
+def test_similar_groups_leave_no_tables_but_their_result(spark, docs):
+    from foralia.runtime import scratch_dir
+
+    root = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert simhash.similar_groups(docs).count()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before}
+    assert "grouped" in left and not left & {"signatures", "classes", "named", "shared", "near", "crowded", "verified", "components"}
