@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foralia.llm.graph import components
-from foralia.runtime import drop_scratch, materialize, table
+from foralia.runtime import drop_scratch, free_driver, materialize, shuffled, table
 
 BITS = 64
 WIDTH = 4
@@ -277,18 +277,18 @@ def _across(crowded: DataFrame, groups: DataFrame) -> DataFrame:
     never meets itself; at most twice the pairs that have to be decided are looked at.
     """
     chain = ["next_1", "next_2"]
-    rest = crowded.where("cls <> lead.cls").join(groups, F.col("cls") == F.col("node"), "left")
+    rest = crowded.where("cls <> lead.cls").join(shuffled(groups), F.col("cls") == F.col("node"), "left")
     rest = rest.select("key", F.coalesce("root", "cls").alias("group"), "cls", *chain)
     sizes = rest.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key")
     sizes = sizes.agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mixed = materialize(rest.join(sizes.select("key", F.col("most.group").alias("most"), blocks.alias("blocks")), "key"), "mixed")
+    mixed = materialize(rest.join(shuffled(sizes.select("key", F.col("most.group").alias("most"), blocks.alias("blocks"))), "key"), "mixed")
     of = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("group", "cls", *chain)]
     right = mixed.select("key", F.pmod("cls", F.col("blocks")).alias("block"), *of("b"))
     left = mixed.where("group <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", F.col("block").cast("long"), "most", *of("a"))
     once = (F.col("group_b") == F.col("most")) | (F.col("cls_a") < F.col("cls_b"))
-    met = left.join(right, ["key", "block"]).where((F.col("group_a") != F.col("group_b")) & once)
+    met = left.join(shuffled(right), ["key", "block"]).where((F.col("group_a") != F.col("group_b")) & once)
     met = met.where(_viable(lambda k: F.col(f"next_{k}_a"), lambda k: F.col(f"next_{k}_b")))
     return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
 
@@ -309,18 +309,21 @@ def similar_groups(docs: DataFrame, width: int = WIDE_WIDTH, similarity: float =
     drop_scratch(rows)
     near = _met_keys(classes, similarity)
     lead = near.groupBy("key").agg(F.min(F.struct("cls", "next_1", "next_2")).alias("lead"))
-    crowded = materialize(near.join(lead, "key"), "crowded")
+    crowded = materialize(near.join(shuffled(lead), "key"), "crowded")
     drop_scratch(near)
+    free_driver(docs.sparkSession)
     met = crowded.where("cls <> lead.cls").where(_viable(lambda k: F.col(f"next_{k}"), lambda k: F.col(f"lead.next_{k}")))
     links = _verified(met.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")), classes, docs, width, similarity)
     groups = materialize(components(links), "groups")
     more = _verified(_across(crowded, groups), classes, docs, width, similarity)
+    free_driver(docs.sparkSession)
     linked = materialize(components(links.unionByName(more)), "components")
     drop_scratch(crowded)
-    least = linked.join(classes, linked["node"] == classes["cls"]).groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = linked.join(least, "root").select(F.col("node").alias("cls"), "component_id")
-    whole = classes.join(moved, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))
-    found = materialize(named.join(whole, "cls").select("doc_id", "mark", "component_id"), "grouped")
+    first = classes.select("cls", "first")
+    least = shuffled(linked).join(first, linked["node"] == first["cls"]).groupBy("root").agg(F.min("first").alias("component_id"))
+    moved = linked.join(shuffled(least), "root").select(F.col("node").alias("cls"), "component_id")
+    whole = first.join(shuffled(moved), "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))
+    found = materialize(named.join(shuffled(whole), "cls").select("doc_id", "mark", "component_id"), "grouped")
     for scratch in (classes, named, links, groups, more, linked):
         drop_scratch(scratch)
     return found

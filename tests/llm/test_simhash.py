@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import xxhash
 
@@ -185,3 +186,33 @@ def test_similar_groups_leave_no_tables_but_their_result(spark, docs):
     assert simhash.similar_groups(docs).count()
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before}
     assert "grouped" in left and not left & {"signatures", "classes", "named", "shared", "near", "crowded", "verified", "components"}
+
+
+def executions_of(spark, run):
+    """The plans of the executions that run() starts, as the session's status store has them when it is done."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList(before, 1000)
+    return [found.apply(k).physicalPlanDescription() for k in range(found.size())]
+
+
+def test_components_run_one_execution_a_round_and_broadcast_nothing(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(7, k) for k in range(200, 230)], "a long, b long")
+    plans = executions_of(spark, lambda: graph.components(edges).count())
+    assert len(plans) > 2 and all("InsertIntoHadoopFsRelationCommand" in p for p in plans[:-1])
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
+def test_components_of_no_edges(spark):
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert graph.components(spark.createDataFrame([(5, 5)], "a long, b long")).collect() == []
+
+
+def test_near_dedup_broadcasts_no_narrow_table(spark, docs):
+    plans = executions_of(spark, lambda: simhash.similar_groups(docs).count())
+    written = {m[1]: p for p in plans if (m := re.search(r"Arguments: file:\S*/(crowded|mixed|grouped|edges)-", p))}
+    assert set(written) == {"crowded", "mixed", "grouped", "edges"}
+    assert not [k for k, p in written.items() if "BroadcastExchange" in p]
