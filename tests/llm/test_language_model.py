@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from foralia.llm import language_model as lm
@@ -109,3 +110,53 @@ def test_row_sums(n_rows):
     got, sums = lm.row_sums(rows, error, n_rows)
     assert got.tolist() == sorted(set(rows.tolist()))
     assert np.allclose(sums, [error[rows == r].sum(axis=0) for r in got], atol=1e-4)
+
+
+def frequent_and(spark, rare):
+    """A vocabulary of 512 frequent words and these, equally rare."""
+    return lm.vocabulary_of(spark.createDataFrame([(f"w{k}", 10_000 - k) for k in range(512)] + [(w, 3) for w in rare], "token string, n long"))
+
+
+def test_rare_words_of_one_class_depend_on_the_word_before(spark):
+    vocabulary, start = frequent_and(spark, ["aend", "bend"])
+    assert lm.tail_class(b"aend") == lm.tail_class(b"bend")
+    lookup = lm.Lookup(vocabulary)
+    texts = pd.DataFrame({"text": ["w1 aend", "w2 bend"] * 2000})
+    (state,) = lm.train_task(iter([texts]), start, lookup)
+    weights = lm.Weights.unpack(np.concatenate([np.frombuffer(w, "<f2").astype(np.float32) for w in state["weights"]]), vocabulary.rows)
+    asked = pd.DataFrame({"doc_id": "1", "held_out": False, "text": ["w1 aend", "w1 bend", "w2 aend", "w2 bend"]})
+    score = lambda w: pd.concat(lm.score_task(iter([asked]), w, lookup))["model_sum"].to_numpy()
+    before, after = score(start), score(weights)
+    assert abs(before[0] - before[1]) < 1e-4 and abs(before[2] - before[3]) < 1e-4
+    assert after[0] - after[1] > 1 and after[3] - after[2] > 1
+
+
+def test_probabilities_of_known_rare_words_sum_to_their_class(spark):
+    rare = [f"x{k}end" for k in range(300)]
+    vocabulary, start = frequent_and(spark, rare)
+    rng = np.random.default_rng(0)
+    for weights in (start.outer, start.path):
+        weights[:] = rng.normal(size=weights.shape)
+    lookup = lm.Lookup(vocabulary)
+    cls = lm.tail_class(b"x0end")
+    hashes = np.array([zlib.crc32(b"\n"), zlib.crc32(b"\n"), zlib.crc32(b"w7"), 0], np.uint32)
+    of_class = lm.probabilities(start.outer, start.outer_bias, lm.features(hashes, np.array([3]), np.array([cls]), vocabulary.rows)[0])[0, cls]
+    paths = [sum(math.log10(lm.probabilities(start.path, bias, on)[0, digit[0]]) for bias, on, digit in lookup.path(np.append(hashes[:3], np.uint32(zlib.crc32(w.encode()))), np.array([3]), np.array([cls]))) for w in rare]
+    ends = [lookup.end(np.array([zlib.crc32(w.encode())], np.uint32), np.array([cls]))[0] for w in rare]
+    of = of_class * np.sum(10 ** np.array([p + e for p, e in zip(paths, ends, strict=True)]) * 4) / vocabulary.denominators()[cls - lm.HEAD_CLASSES]
+    unknown = of_class / vocabulary.denominators()[cls - lm.HEAD_CLASSES]
+    assert abs(of + unknown - of_class) < 1e-3 * of_class
+
+
+def test_words_joined_score_as_words_of_the_head(spark):
+    rng = np.random.default_rng(4)
+    words = [f"v{k}" for k in range(1500)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words, 60))) for k in range(200)], "doc_id long, text string").coalesce(1).cache()
+    score = lambda head: {r["doc_id"]: r["score"] for r in lm.score_documents(docs, head).collect()}
+    joined, head = score(600), score(100_000)
+    assert all(abs(joined[k] - head[k]) < 0.01 for k in head)
+
+
+def test_paths_grow_with_the_vocabulary_without_bound():
+    assert [lm.Rows.of(n).digits for n in (0, 256 << 5, 256 << 10, 256 << 15, 256 << 20)] == [1, 1, 2, 3, 4]
+    assert [lm.Rows.of(n).path for n in (0, 256 << 12, 256 << 15, 256 << 20)] == [1 << 13, 1 << 13, 1 << 16, 1 << 21]
