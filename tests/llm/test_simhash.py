@@ -192,11 +192,11 @@ def executions_of(spark, run):
     """The plans of the executions that run() starts, as the session's status store has them when it is done."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
+    listed = lambda: (found.apply(k) for found in [store.executionsList()] for k in range(found.size()))
+    before = max((x.executionId() for x in listed()), default=-1)  # the store forgets old executions, so their count stops growing
     run()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    found = store.executionsList(before, 1000)
-    return [found.apply(k).physicalPlanDescription() for k in range(found.size())]
+    return [x.physicalPlanDescription() for x in sorted(listed(), key=lambda x: x.executionId()) if x.executionId() > before]
 
 
 def test_components_run_one_execution_a_round_and_broadcast_nothing(spark):
